@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from arborweft.llm import conversations, docpairs, leakage, packing, provenance, quality
+from arborweft.llm.syntax import check
 from arborweft.sources.tables import load
 
 QUERIES = {
@@ -12,6 +13,9 @@ QUERIES = {
     "p4_found": conversations.found,
     "p4_turns": lambda s, d: conversations.turns(load(s, d, "transcript_entries")),
     "p4_clock_offsets": lambda s, d: conversations.clock_offsets(load(s, d, "transcript_entries")),
+    "p5_found": check.found,
+    "p5_verdicts": lambda s, d: check.verdicts(load(s, d, "files"), load(s, d, "source_texts")),
+    "p5_rates": check.rates,
     "p6_found": provenance.found,
     "p6_report": provenance.handwritten,
     "p8_containers": packing.packed,
