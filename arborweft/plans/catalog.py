@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborweft.plans import graph, problems, resolution, search
+from arborweft.plans import drift, graph, lineage, problems, resolution, search
 
-_MODULES = [problems, graph, search, resolution]
+_MODULES = [problems, graph, search, resolution, drift, lineage]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
