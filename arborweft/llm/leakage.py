@@ -95,6 +95,8 @@ class ItemIndex:
         order = np.argsort(codes, kind="stable")
         self.codes, self.item, self.pos, self.word = codes[order], cat(item, np.int32)[order], cat(pos, np.int32)[order], cat(word, np.int32)[order]
         self.need, self.span = np.array(self.need, np.int64), np.array(self.span, np.int64)
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
+        self.words = [np.array([self.number[w] for w in ws]) for ws in self.words]
 
     def search(self, text: str) -> list[int]:
         """Ids of the items of which the text holds a stretch."""
@@ -124,6 +126,7 @@ class ItemIndex:
         found: list[int] = []
         tried: set[tuple[int, int]] = set()
         done: set[int] = set()
+        doc = None
         for shift in (0, BAND // 2):
             key = item * (1 << 40) + (diag + shift + (1 << 30)) // BAND
             order = np.lexsort((where, key))
@@ -134,71 +137,79 @@ class ItemIndex:
             end_ok = np.minimum(end, len(k) - 1)
             good = np.flatnonzero((end < len(k)) & (k[end_ok] == k) & (w[end_ok] - w <= self.span[item[order]]))
             for g in good:
-                j = order[g]
-                it = int(item[j])
+                it = int(item[order[g]])
                 if it in done:
                     continue
-                # the word diagonal in the middle of the window
-                m = order[(g + int(end_ok[g])) // 2]
-                wd = int(at[where[m]]) - int(self.word[idx[m]])
-                if (it, wd) in tried:
-                    continue
-                tried.add((it, wd))
-                if holds(self.words[it], ws, wd):
-                    done.add(it)
-                    found.append(self.ids[it])
+                # the word diagonals that most of the window's q-grams lie on
+                window = order[g : int(end_ok[g]) + 1]
+                diags, n = np.unique(at[where[window]] - self.word[idx[window]], return_counts=True)
+                for wd in diags[np.argsort(-n, kind="stable")[:3]].tolist():
+                    if (it, wd) in tried:
+                        continue
+                    tried.add((it, wd))
+                    if doc is None:
+                        doc = np.array([self.number.get(w, -1) for w in ws])
+                    if holds_ids(self.words[it], doc, wd):
+                        done.add(it)
+                        found.append(self.ids[it])
+                        break
         return found
 
 
-def holds(item: list[str], doc: list[str], diag: int, half: int = 8) -> bool:
-    """Banded alignment of item word i with document words around i + diag: is there a stretch of STRETCH item words or
-    more with at most about one edit (changed, lost or added word) in ONE_IN words?"""
-    n, m, width = len(item), len(doc), 2 * half + 1
-    prev, back = [0] * width, []
-    top, top_at = 0, (0, 0)
+HALF = 8  # words by which an alignment may leave its diagonal, either way
+EDITS = 3  # edits counted in one stretch; a longer leaked stretch always has a part with fewer that suffices
+_NONE = -(10**6)
+
+
+def holds_ids(item: np.ndarray, doc: np.ndarray, diag: int) -> bool:
+    """Banded alignment of item word i with document words i + diag - HALF to i + diag + HALF: is there a stretch of at
+    least STRETCH item words with (words - ONE_IN * edits) >= MARGIN? An edit is a changed, lost or added word. Words are
+    numbers; a document number below 0 equals nothing.
+
+    First a bound: a word found nowhere in its band is an edit; if that alone leaves no stretch, nothing does. Then, cell by
+    cell, the longest stretch that ends there with 0 to EDITS edits: exact, not one best path.
+    """
+    n, width = len(item), 2 * HALF + 1
+    lo = diag - HALF
+    seg = np.full(n + 2 * HALF, -1, doc.dtype)
+    x, y = max(0, lo), min(len(doc), lo + len(seg))
+    if y <= x:
+        return False
+    seg[x - lo : y - lo] = doc[x:y]
+    same = np.lib.stride_tricks.sliding_window_view(seg, width) == item[:, None]
+    if not _stretch(same.any(1)):
+        return False
+    prev = np.full((EDITS + 1, width), _NONE)
+    cost = ONE_IN * np.arange(EDITS + 1)[:, None]
     for i in range(n):
-        row, come = [0] * width, [0] * width
-        base, x = i + diag - half, item[i]
-        for b in range(width):
-            j = base + b
-            best, c = 0, 0  # a local alignment may start anywhere
-            if 0 <= j < m:
-                if doc[j] == x:
-                    best, c = prev[b] + 2, 1
-                elif prev[b] > 1:
-                    best, c = prev[b] - 1, 3
-                if b and row[b - 1] - 1 > best:
-                    best, c = row[b - 1] - 1, 4  # a word is added
-            if b + 1 < width and prev[b + 1] - 1 > best:
-                best, c = prev[b + 1] - 1, 2  # the item's word is lost
-            row[b], come[b] = best, c
-            if best > top:
-                top, top_at = best, (i, b)
-        prev = row
-        back.append(come)
-    cost = [1] * n
-    i, b = top_at
-    while i >= 0 and (c := back[i][b]):
-        if c == 4:
-            b -= 1
-            cost[i] += 1
-            continue
-        if c == 1:
-            cost[i] -= 1
-        elif c == 2:
-            b += 1
-        i -= 1
-    total, sums, low = 0, [0], 0
-    for c in cost:
-        total += 1 - ONE_IN * c
-        sums.append(total)
-    for e in range(STRETCH, n + 1):
-        low = min(low, sums[e - STRETCH]) if e > STRETCH else sums[0]
-        if sums[e] - low >= MARGIN:
+        row = np.full((EDITS + 1, width), _NONE)
+        hit = same[i]
+        row[:, hit] = prev[:, hit] + 1
+        row[0, hit] = np.maximum(prev[0, hit], 0) + 1  # a stretch may begin at any word that is found
+        np.maximum(row[1:], prev[:-1] + 1, out=row[1:])  # changed
+        np.maximum(row[1:, :-1], prev[:-1, 1:] + 1, out=row[1:, :-1])  # lost
+        for e in range(1, EDITS + 1):
+            np.maximum(row[e, 1:], row[e - 1, :-1], out=row[e, 1:])  # added
+        if ((row >= STRETCH) & (row - cost >= MARGIN)).any():
             return True
+        prev = row
     return False
 
 
+def _stretch(found: np.ndarray) -> bool:
+    n = len(found)
+    if n < STRETCH:
+        return False
+    sums = np.concatenate([[0], np.cumsum(1 - ONE_IN * ~found)])
+    return bool((sums[STRETCH:] - np.minimum.accumulate(sums)[: n + 1 - STRETCH]).max() >= MARGIN)
+
+
+def holds(item: list[str], doc: list[str], diag: int) -> bool:
+    """The same over lists of words."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    return holds_ids(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in doc]), diag)
+
+
 def _search(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

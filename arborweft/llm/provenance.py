@@ -183,7 +183,7 @@ def latest_files(files: DataFrame) -> DataFrame:
 def reasons(files: DataFrame, texts: DataFrame) -> DataFrame:
     """path, language, reason (null: hand-written) of each path of `files`. A null text or size is no sign by itself."""
     joined = latest_files(files).join(texts.select("path", "content"), "path", "left").select("path", "language", "size", "content")
-    return joined.mapInArrow(_reasons, "path string, language string, reason string")
+    return joined.mapInArrow(_reasons, "path string, language string, reason string").dropDuplicates(["path"])
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _BULLET = re.compile(r"\s*(?:[-*+•◦–·‣]|\(?\d{1,4}[.):]|\(?[a-zA-Z][.)]|\d{1,4} -|\[[ xX]\])\s+")
 _PREFIX = re.compile(r"\s*(?:>+|//+|#+(?=\s)|--|;|%|\|(?=\s)|@[\w.-]+:|\d+:(?=\s)|\*(?=\s))\s?")
 _HEAD = re.compile(r"\s*#{1,6}\s+\S|\s*={3,}\s*$|\s*-{3,}\s*$")
+_SET = re.compile(r"\s*[\w.\[\]()-]+\s*(?:=|->|=>|:=|→)\s*\S")
 _KEYED = re.compile(r"\s*[\w.\[\]-]+\s*(?:=|->|=>|:=|→|:\s)|\s*[\w.]+\(\)?\s*->")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèêâîôûœæ]", re.I)
 _FENCE = re.compile(r"\s*(?:```|~~~)")
@@ -44,7 +45,7 @@ _FUNCTION = ((0.03, 0.45, 0.55, 0.70), (0.12, 0.15, 0.15, 0.18), (0.25, 0.15, 0.
 _SHAPE = {"flow": (0.62, 0.05, 0.02, 0.12), "sentence": (0.30, 0.06, 0.02, 0.10), "plain": (0.06, 0.20, 0.05, 0.28), "bullet": (0.015, 0.55, 0.06, 0.05), "keyed": (0.004, 0.11, 0.15, 0.05), "cells": (0.001, 0.03, 0.70, 0.10)}
 _NOISE = ((0.90, 0.80, 0.62, 0.25), (0.08, 0.15, 0.30, 0.30), (0.005, 0.05, 0.08, 0.45))
 _REPEAT = ((0.985, 0.90, 0.90, 0.60), (0.002, 0.10, 0.10, 0.40))
-_STAY, _START = 0.82, (0.4, 0.2, 0.2, 0.2)
+_STAY, _START = 0.82, (0.30, 0.23, 0.23, 0.24)
 
 _log = lambda t: tuple(math.log(x) for x in t)
 _LF, _LS, _LN, _LR = [_log(t) for t in _FUNCTION], {k: _log(t) for k, t in _SHAPE.items()}, [_log(t) for t in _NOISE], [_log(t) for t in _REPEAT]
@@ -65,6 +66,8 @@ def _shape(line: str, core: str, bullet: bool, n: int, share: float) -> str:
         return "cells"
     if bullet:
         return "bullet"
+    if n < 12 and _SET.match(line):
+        return "keyed"
     if _KEYED.match(line) and share < 0.25 and n < 12:
         return "keyed"
     return "sentence" if n >= 9 or (n >= 2 and core.rstrip("\"'”’»)* ")[-1:] in ".!?…") else "plain"
@@ -136,7 +139,7 @@ def label_lines(text: str) -> list[tuple[str, int]]:
             n = sum(len(ws) for ws in words[lo:hi])
             share = sum(hits[lo:hi]) / n if n else 0.0
             shape = _shape(x, core, marks[i], len(words[i]), share)
-            if flow and share > 0.05 and shape in ("bullet", "sentence", "plain", "keyed"):
+            if flow and share > 0.05 and (shape in ("bullet", "sentence", "plain") or shape == "keyed" and not _SET.match(x)):
                 shape = "flow"
             level = 0 if share == 0 else 1 if share < 0.13 else 2 if share < 0.22 else 3
             times = seen[core] = seen.get(core, 0) + 1

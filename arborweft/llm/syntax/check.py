@@ -73,10 +73,10 @@ def verdict(text: str, language: str) -> tuple[str, int, int] | None:
     line = text.count("\n", 0, at) + 1
     col = at - text.rfind("\n", 0, at)
     near = text[max(0, at - 4000) : at + 4000]
-    if _CONFLICT.search(near):
-        cause = "conflict"
-    elif _TEMPLATE.search(text[max(0, at - 80) : at + 80]):
+    if _TEMPLATE.search(text[max(0, at - 80) : at + 80]):
         cause = "template"
+    elif _CONFLICT.search(near):
+        cause = "conflict"
     else:
         cause = next((f"looks like {k}" for k, p in _OTHER if k != language and not (k == "javascript" and language == "typescript") and p.search(text) and not any(q.search(text) for j, q in _OTHER if j == language)), None)
         cause = cause or ("truncated" if not text[at:].strip(" \t\r\n;") or _unclosed(text, at) else "other")
@@ -119,7 +119,7 @@ def verdicts(files: DataFrame, texts: DataFrame) -> DataFrame:
     """path, member, language, checked, cause, line, col: one row per path of files. cause is null for a valid file and for
     one that is not checked (no text, or a language without a grammar). An empty text is valid in every language."""
     rows = latest_files(files).join(texts.select("path", "content"), "path", "left").select("path", "member", "language", "content")
-    return rows.mapInArrow(_verdicts, "path string, member string, language string, checked boolean, cause string, line int, col int")
+    return rows.mapInArrow(_verdicts, "path string, member string, language string, checked boolean, cause string, line int, col int").dropDuplicates(["path"])
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

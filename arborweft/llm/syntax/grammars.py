@@ -342,12 +342,12 @@ DefaultExpr <- "DEFAULT" / Expr
 Select <- "SELECT" ("ALL" / "DISTINCT" ("ON" '(' Exprs ')')?)? ("TOP" (NUM / '(' Expr ')') "PERCENT"?)? Item (',' Item)* ("INTO" Into)? From? ("WHERE" Expr)? Group? ("HAVING" Expr)? ("QUALIFY" Expr)? Windows?
 Into <- ("TEMP" / "TEMPORARY" / "UNLOGGED" / "STRICT" / "TABLE")? Name (',' Name)*
 Item <- '*' / Expr ("AS"? Alias)?
-Alias <- QUOTED / STR / !Reserved NAME
+Alias <- QUOTED / STR / !(Reserved / "LOOP" / "QUALIFY" / "GO") NAME
 From <- "FROM" TableRef (',' TableRef)*
 TableRef <- TablePrimary (Join)*
 Join <- ("NATURAL" / "CROSS" / "INNER" / ("LEFT" / "RIGHT" / "FULL") "OUTER"? / "CROSS" / "ASOF" / "ANTI" / "SEMI")* ("JOIN" / "APPLY") TablePrimary ("ON" Expr / "USING" '(' Names ')')?
 TablePrimary <- ("LATERAL" / "ONLY")? ('(' Query ')' / '(' TableRef ')' / Name '(' Exprs? ')' ("WITH" "ORDINALITY")? / Name '*'?) TableAlias? Sample? ("WITH" '(' Names ')')?
-TableAlias <- "AS"? !("WHEN") Id ('(' AliasCol (',' AliasCol)* ')')?
+TableAlias <- "AS"? !("WHEN" / "LOOP" / "TABLESAMPLE" / "QUALIFY" / "ASOF" / "ANTI" / "SEMI" / "GO") Id ('(' AliasCol (',' AliasCol)* ')')?
 AliasCol <- Id Type?
 Sample <- "TABLESAMPLE" Id '(' Exprs ')'
 Group <- "GROUP" "BY" ("ALL" / GroupItem (',' GroupItem)*)
@@ -369,7 +369,7 @@ Postfix <- Atom ('::' Type / '[' Expr? (':' Expr?)? ']' / "AT" "TIME" "ZONE" Pos
 Atom <- NUM / STR+ / DOLLAR / "NULL" / "CASE" Expr? ("WHEN" Expr "THEN" Expr)+ ("ELSE" Expr)? "END" / "EXISTS" '(' Query ')' / ("CAST" / "TRY_CAST" / "SAFE_CAST") '(' Expr "AS" Type ')' / "EXTRACT" '(' Id "FROM" Expr ')' / ("SUBSTRING" / "TRIM" / "OVERLAY" / "POSITION") '(' (("LEADING" / "TRAILING" / "BOTH")? Expr? ("FROM" / "IN" / "PLACING" / ',') Exprs ("FOR" Expr)? / Exprs) ')' / "INTERVAL" Expr Id? / "ARRAY" ('[' Exprs? ']' / '(' Query ')') / "ROW" Row / ("DATE" / "TIME" / "TIMESTAMP" / "TIMESTAMPTZ") STR / '(' Query ')' / '(' Exprs? ')' / '{' Id Exprs '}' / Function / Name / '?' / '*'
 Function <- (Name / ("LEFT" / "RIGHT" / "SET" / "VALUES" / "ANY" / "IN" / "IF" / "REPLACE")) '(' (("DISTINCT" / "ALL")? FuncArg (',' FuncArg)* Order? ("SEPARATOR" STR)? Tail*)? ')' ("WITHIN" "GROUP" '(' Order ')')? ("FILTER" '(' "WHERE" Expr ')')? (("IGNORE" / "RESPECT") "NULLS")? ("OVER" (Id / '(' Over ')'))?
 FuncArg <- "VARIADIC"? (Query / Expr)
-Over <- Id? ("PARTITION" "BY" Exprs)? Order? (("ROWS" / "RANGE" / "GROUPS") (Bound / "BETWEEN" Bound "AND" Bound) ("EXCLUDE" Id Id?)?)?
+Over <- (!("PARTITION" / "ROWS" / "RANGE" / "GROUPS") Id)? ("PARTITION" "BY" Exprs)? Order? (("ROWS" / "RANGE" / "GROUPS") (Bound / "BETWEEN" Bound "AND" Bound) ("EXCLUDE" Id Id?)?)?
 Bound <- "UNBOUNDED" ("PRECEDING" / "FOLLOWING") / "CURRENT" "ROW" / Sum ("PRECEDING" / "FOLLOWING")
 Type <- TypeName ('(' TypeArg (',' TypeArg)* ')')? ("UNSIGNED" / "SIGNED" / "ZEROFILL" / "VARYING" ('(' NUM ')')? / ("WITH" / "WITHOUT") "LOCAL"? "TIME" "ZONE")* ("CHARACTER" "SET" Id)? ('[' NUM? ']')* ("ARRAY")? ('%' ("TYPE" / "ROWTYPE"))?
 TypeArg <- NUM / STR / "MAX" / Id Type?
@@ -429,7 +429,7 @@ Set <- "SET" ("SESSION" / "LOCAL" / "GLOBAL")? ("TRANSACTION" Loose+ / Name ("TO
 Do <- "DO" (("LANGUAGE" Id) DOLLAR / DOLLAR ("LANGUAGE" Id)?)
 Explain <- ("EXPLAIN" / "DESCRIBE") ("ANALYZE" / "VERBOSE" / Balanced)* Stmt
 Copy <- "COPY" ("INTO" (Name / STR / '@' Name) Loose+ / Name ('(' Names ')')? ("FROM" / "TO") (STR / "STDIN" / "STDOUT" / "PROGRAM" STR) Loose* / Balanced "TO" (STR / "STDOUT") Loose*)
-Other <- ("PRAGMA" / "USE" / "VACUUM" / "ANALYZE" / "REINDEX" / "REFRESH" / "LOCK" / "SHOW" / "NOTIFY" / "LISTEN" / "UNLISTEN" / "CLUSTER" / "DECLARE" / "FETCH" / "CLOSE" / "PREPARE" / "DEALLOCATE" / "DISCARD" / "RESET" / "LOAD" / "ATTACH" / "DETACH" / "PRINT" / "RAISERROR" / "MERGE" / "UNLOAD" / "PUT" / "REASSIGN" / "SECURITY" / "IMPORT") Loose*
+Other <- ("PRAGMA" / "USE" / "VACUUM" / "ANALYZE" / "REINDEX" / "REFRESH" / "LOCK" / "SHOW" / "NOTIFY" / "LISTEN" / "UNLISTEN" / "CLUSTER" / "DECLARE" / "FETCH" / "CLOSE" / "PREPARE" / "DEALLOCATE" / "DISCARD" / "RESET" / "LOAD" / "ATTACH" / "DETACH" / "PRINT" / "RAISERROR" / "MERGE" / "UNLOAD" / "PUT" / "REASSIGN" / "SECURITY" / "IMPORT" "FOREIGN") Loose*
 Routine <- ("<" "<" Id ">" ">")? ("DECLARE" (PlDeclare ';')*)? "BEGIN" PlStmts ("EXCEPTION" ("WHEN" Expr "THEN" PlStmts)+)? "END" Id? ';'? EOF / (Stmt (';'+ / &EOF))* EOF
 PlDeclare <- Id ("ALIAS" "FOR" (Id / NUM) / "CONSTANT"? Type ("COLLATE" Name)? ("NOT" "NULL")? (("DEFAULT" / ':=' / '=') Expr)? / "NO"? "SCROLL"? "CURSOR" Balanced? ("FOR" / "IS") Query)
 PlStmts <- (PlStmt ';')*
