@@ -51,3 +51,10 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small scans in more tasks: a scan with fewer partitions than the cluster has cores is dealt out evenly, so that work
+    that is heavy on the processor fills all cores. A scan that is large enough already is left as it is, without a shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
