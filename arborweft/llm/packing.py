@@ -136,6 +136,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = counts.sparkSession
     scratch = Scratch(spark, "packing")
+    counts = scratch.write(counts.select("doc_id", "n_tokens"))  # the range partition samples its input first: tokenise once
     n = F.coalesce("n_tokens", F.lit(0))
     cut = F.floor(n / capacity)
     # one row per item, sorted by size; whole containers of long documents are one row here
