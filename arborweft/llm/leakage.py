@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweft.sources.tables import load
+from arborweft.sources.tables import load, spread
 
 Q = 8  # characters of a q-gram: eight bytes make one 64-bit code, so equal codes are equal q-grams
 STRETCH = 15  # words of a passage that must stand together
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) ->
     the index that goes to the executors has a fixed size bound whatever the number of items.
     """
     spark = docs.sparkSession
-    src = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    src = spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull()))
     out, block, chars = None, [], 0
 
     def run(part: list) -> None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweft.sources.tables import Scratch, load
+from arborweft.sources.tables import Scratch, load, spread
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -63,7 +63,7 @@ def _counts(path: str):
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of each row of docs (doc_id, text): whole texts; null and empty texts have 0."""
-    return docs.select("doc_id", "text").mapInArrow(_counts(tokenizer_path(tokenizer)), "doc_id long, n_tokens long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(_counts(tokenizer_path(tokenizer)), "doc_id long, n_tokens long")
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

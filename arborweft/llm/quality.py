@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweft.sources.tables import load
+from arborweft.sources.tables import load, spread
 
 # Frequent function words of English, German, French and Spanish (and a few of Italian, Portuguese, Dutch).
 COMMON = tuple(
@@ -186,8 +186,8 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_shares(docs: DataFrame) -> DataFrame:
     """doc_id, prose_share, list_share, table_share, junk_share, n_counted per row of `docs` (doc_id, text): shares of the
     counted characters. Null, empty and blank texts have n_counted 0 and all shares 0. Whole texts are read, however long;
-    no shuffle. Other columns of docs are not read."""
-    return docs.select("doc_id", "text").mapInArrow(_shares, "doc_id long, prose_share double, list_share double, table_share double, junk_share double, n_counted long")
+    large scans are not shuffled. Other columns of docs are not read."""
+    return spread(docs.select("doc_id", "text")).mapInArrow(_shares, "doc_id long, prose_share double, list_share double, table_share double, junk_share double, n_counted long")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
