@@ -37,6 +37,7 @@ _HEAD = re.compile(r"\s*#{1,6}\s+\S|\s*={3,}\s*$|\s*-{3,}\s*$")
 _SET = re.compile(r"\s*[\w.\[\]()-]+\s*(?:=|->|=>|:=|→)\s*\S")
 _KEYED = re.compile(r"\s*[\w.\[\]-]+\s*(?:=|->|=>|:=|→|:\s)|\s*[\w.]+\(\)?\s*->")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèêâîôûœæ]", re.I)
+_ODD = frozenset("¤¢£¥¦§©®±¶¹²³¼½¾¿€™¬�")  # signs that wrongly decoded text is full of
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 
 STATES = ("prose", "list", "table", "junk")
@@ -73,11 +74,19 @@ def _shape(line: str, core: str, bullet: bool, n: int, share: float) -> str:
     return "sentence" if n >= 9 or (n >= 2 and core.rstrip("\"'”’»)* ")[-1:] in ".!?…") else "plain"
 
 
+def _even(line: str) -> str:
+    """A line whose words mostly stand two or more blanks apart evenly is text set wide, not columns."""
+    wide = len(re.findall(r"\S {2}(?=\S)", line))
+    return re.sub(r"(?<=\S) {2,}(?=\S)", " ", line) if wide >= 6 and wide >= 0.7 * (len(line.split()) - 1) else line
+
+
 def _noise(core: str, words: list[str]) -> int:
     solid = sum(not c.isspace() for c in core)
     if not solid:
         return 0
     letters = sum(map(len, words))
+    if sum(c in _ODD for c in core) > 0.08 * solid:
+        return 2
     longest = max(map(len, core.split()))
     if longest > 36 and longest > 0.5 * solid and "://" not in core:
         return 2
@@ -127,6 +136,7 @@ def label_lines(text: str) -> list[tuple[str, int]]:
         if not block:
             continue
         marks = [bool(_BULLET.match(x)) for x in block]
+        block = [_even(x) for x in block]
         cores = [_PREFIX.sub("", _BULLET.sub("", x, count=1) if m else x, count=1).strip() for x, m in zip(block, marks)]
         words = [_WORD.findall(c.lower()) for c in cores]
         width = max(map(len, block))
@@ -138,13 +148,16 @@ def label_lines(text: str) -> list[tuple[str, int]]:
             lo, hi = (max(0, i - 2), i + 3) if flow else (i, i + 1)
             n = sum(len(ws) for ws in words[lo:hi])
             share = sum(hits[lo:hi]) / n if n else 0.0
+            noise = _noise(core, words[i])
+            if noise == 2:
+                share = 0.0  # stray letters are no words
             shape = _shape(x, core, marks[i], len(words[i]), share)
             if flow and share > 0.05 and (shape in ("bullet", "sentence", "plain") or shape == "keyed" and not _SET.match(x)):
                 shape = "flow"
             level = 0 if share == 0 else 1 if share < 0.13 else 2 if share < 0.22 else 3
             times = seen[core] = seen.get(core, 0) + 1
             again = repeated or (times > 2 and len(core) > 3)
-            obs.append((level, shape, _noise(core, words[i]), int(again)))
+            obs.append((level, shape, noise, int(again)))
             sizes.append(len(core))
     if not obs:
         return []
