@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborweft.plans import bus, drift, graph, lineage, links, problems, resolution, search
+from arborweft.plans import bus, drift, extract, graph, lineage, links, problems, resolution, search
 
-_MODULES = [problems, graph, search, resolution, drift, lineage, links, bus]
+_MODULES = [problems, graph, search, resolution, drift, lineage, links, bus, extract]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
