@@ -102,6 +102,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dangling references per table, column and month of loaded_at: distinct records and distinct missing keys."""
-    d = dangling(spark, sf_dir).groupBy("table_name", "column_name", "period", "key").agg(F.collect_set("record_id").alias("ids"))
-    # per key first: the second aggregation then counts keys without shuffling rows again
-    return d.groupBy("table_name", "column_name", "period").agg(F.sum(F.size("ids")).alias("n_records"), F.count("*").alias("n_keys"))
+    rows = dangling(spark, sf_dir).select("table_name", "column_name", "period", "key", "record_id").distinct()
+    # per key first: no list of records is ever built, however many records share an orphan key
+    per = rows.groupBy("table_name", "column_name", "period", "key").agg(F.count("*").alias("n"))
+    return per.groupBy("table_name", "column_name", "period").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_keys"))

@@ -181,9 +181,9 @@ def column_match(refs: DataFrame, nodes: DataFrame, contains: DataFrame, anchors
     r = refs.filter(F.col("reference_kind").isin("sql_string", "sql_fragment") & F.col("from_node_id").isNotNull() & ~F.col("reference_name").contains("."))
     cols = contains.select(F.col("source").alias("table_id"), F.col("target").alias("col_id")).join(nodes.filter("kind = 'column'").select(F.col("id").alias("col_id"), F.lower("name").alias("k")), "col_id")
     own = anchors.select(F.col("source").alias("from_node_id"), F.col("target").alias("table_id")).distinct().join(cols, "table_id")
-    hit = r.withColumn("k", F.lower("reference_name")).join(own, ["from_node_id", "k"]).select("id", "from_node_id", "col_id", "reference_kind").distinct()
-    few = hit.groupBy("id").agg(F.collect_set("col_id").alias("c")).filter("size(c) <= 3")
-    return few.select(F.col("id").alias("ref_id"), F.explode("c").alias("target"))
+    hit = r.withColumn("k", F.lower("reference_name")).join(own, ["from_node_id", "k"]).select("id", "col_id").distinct()
+    few = hit.groupBy("id").agg(F.count("*").alias("n")).filter("n <= 3").select("id")
+    return hit.join(few, "id").select(F.col("id").alias("ref_id"), F.col("col_id").alias("target"))
 
 
 def npm_package(spec: Column) -> Column:

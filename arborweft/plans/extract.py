@@ -160,12 +160,12 @@ def flow_chain(s, d):
     return out.select(F.array_join("chain", " > ").alias("chain"), F.size("chain").cast("long").alias("len")).orderBy(F.desc("len"), "chain").limit(1)
 
 
-@query("explore_budget", sql("SELECT split_part(path, '/', 1) AS member, count(*) AS n_files, CASE WHEN count(*) < 20 THEN 1 WHEN count(*) < 100 THEN 2 WHEN count(*) < 500 THEN 3 WHEN count(*) < 2000 THEN 4 ELSE 5 END AS calls, CASE WHEN count(*) < 100 THEN 13000 WHEN count(*) < 1000 THEN 18000 ELSE 24000 END AS max_chars FROM f GROUP BY 1"))
+@query("explore_budget", sql("SELECT split_part(path, '/', 1) AS member, count(*) AS n_files, CASE WHEN count(*) < 500 THEN 1 WHEN count(*) < 5000 THEN 2 WHEN count(*) < 15000 THEN 3 WHEN count(*) < 25000 THEN 4 ELSE 5 END AS calls, CASE WHEN count(*) < 150 THEN 13000 WHEN count(*) < 500 THEN 18000 ELSE 24000 END AS max_chars FROM f GROUP BY 1"))
 def explore_budget(s, d):
     """How many calls and characters an exploration may spend, by the number of files."""
     n = model.files(s, d, "path", "language").groupBy(F.substring_index("path", "/", 1).alias("member")).agg(F.count("*").alias("n_files"))
     c = F.col("n_files")
-    return n.withColumn("calls", F.when(c < 20, 1).when(c < 100, 2).when(c < 500, 3).when(c < 2000, 4).otherwise(5)).withColumn("max_chars", F.when(c < 100, 13000).when(c < 1000, 18000).otherwise(24000))
+    return n.withColumn("calls", F.when(c < 500, 1).when(c < 5000, 2).when(c < 15000, 3).when(c < 25000, 4).otherwise(5)).withColumn("max_chars", F.when(c < 150, 13000).when(c < 500, 18000).otherwise(24000))
 
 
 _CUT = re.compile(r"\n#### ")

@@ -178,9 +178,11 @@ def diversity_cap(s, d):
     on each other, so the candidates go through one task; with both caps bounded, so is what is kept. Candidates come from
     a walk of bounded depth. No SQL: greedy choice; tests compare with a plain loop."""
     c = context_nodes(s, d).join(model.nodes(s, d, "id", "kind", "file_path"), "id").select("id", "label", "kind", "file_path")
-    # beyond the first per-kind-and-file candidates nothing can be kept, so the cut before the single task loses nothing
-    w = Window.partitionBy("kind", "file_path").orderBy("label", "id")
-    few = c.withColumn("rn", F.row_number().over(w)).filter("label = 0 or rn <= 5 + 8").drop("rn")
+    # cuts that lose nothing bound the single task: a file takes 5 of a kind at most; at most 8 of each of 39 kinds are kept,
+    # so at most 63 files get full, and a kind's first 8 + 63 * 5 candidates hold all that can be kept of it
+    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("label", "id"))
+    some = c.filter("label > 0").withColumn("rn", first("kind", "file_path")).filter("rn <= 5").withColumn("rn", first("kind")).filter("rn <= 323").drop("rn")
+    few = c.filter("label = 0").union(some)
     return few.coalesce(1).sortWithinPartitions("label", "id").mapInArrow(_capped(5, 8), "id string, label int, kind string, file_path string")
 
 

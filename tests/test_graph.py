@@ -162,3 +162,12 @@ def test_halted_across_partitions(spark):
 def test_limits(spark):
     env = spark.createDataFrame([(1, "r", "", 1, "x", None, None), (2, "r", "s" * 200, 1, "", None, ["a"] * 17), (3, "r", "s", 1, "x", None, ["b" * 300])], bus.ENVELOPE)
     assert rows(bus.problems(env)) == [(1, "no sender"), (2, "name too long"), (2, "no text"), (2, "too many recipients"), (3, "recipients too long")]
+
+
+def test_python_symbols():
+    from arborweft.plans.extract import ceiling, python_symbols
+
+    t = "class A:\n    def f(self):\n        def g(): pass\n        return 1\n\nif x:\n    async def h():\n        pass\n"
+    assert python_symbols(t) == [("class", "A", 1, 4, None), ("method", "A::f", 2, 4, "A"), ("function", "A::f::g", 3, 3, "A::f"), ("function", "h", 7, 8, None)]
+    assert python_symbols("def f(:\n") == [] and python_symbols("") == []
+    assert ceiling("a" * 60 + "\n#### x\n" + "b" * 60, 100) == "a" * 60 and ceiling("a" * 101, 100) == "a" * 100 and ceiling("abc", 100) == "abc"
