@@ -121,13 +121,13 @@ def line_grep(s, d):
 
 # --- context (X1-X6), call chains and flow (G27, G28) ------------------------------------------------------------------
 
-_SEEDS = sql("SELECT id, kind, name, file_path FROM n WHERE contains(lower(name), 'rotate')")
+_SEEDS = sql("SELECT id, kind, name, file_path FROM n WHERE contains(lower(name), 'rotate') ORDER BY id LIMIT 20")
 
 
 @query("context_seeds", _SEEDS)
 def context_seeds(s, d):
-    """Seed symbols of a context: search hits by name."""
-    return model.nodes(s, d, "id", "kind", "name", "file_path").filter(F.lower("name").contains("rotate"))
+    """Seed symbols of a context: search hits by name, the first 20 (the cut is the feature)."""
+    return model.nodes(s, d, "id", "kind", "name", "file_path").filter(F.lower("name").contains("rotate")).orderBy("id").limit(20)
 
 
 @query("edge_dedup_provenance", sql("SELECT source, target, kind, id, coalesce(provenance, '') AS provenance FROM e QUALIFY row_number() OVER (PARTITION BY source, target, kind ORDER BY CASE WHEN provenance = 'heuristic' THEN 0 ELSE 1 END, id) = 1"))
@@ -148,7 +148,7 @@ def context_nodes(s, d):
     return lab(down, 1).union(lab(up, 2)).groupBy("id").agg(F.min("label").alias("label"))
 
 
-@query("context_labels", sql(f""", st AS (SELECT id FROM n WHERE contains(lower(name), 'rotate')), dn(o, id, d) AS (SELECT id, id, 0 FROM st UNION SELECT o, e.target, d + 1 FROM dn JOIN e ON e.source = dn.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.target IS NOT NULL),
+@query("context_labels", sql(f""", st AS (SELECT id FROM n WHERE contains(lower(name), 'rotate') ORDER BY id LIMIT 20), dn(o, id, d) AS (SELECT id, id, 0 FROM st UNION SELECT o, e.target, d + 1 FROM dn JOIN e ON e.source = dn.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.target IS NOT NULL),
 up(o, id, d) AS (SELECT id, id, 0 FROM st UNION SELECT o, e.source, d + 1 FROM up JOIN e ON e.target = up.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.source IS NOT NULL)
 SELECT id, min(label) AS label FROM (SELECT id, CASE WHEN d = 0 THEN 0 ELSE 1 END AS label FROM dn UNION ALL SELECT id, CASE WHEN d = 0 THEN 0 ELSE 2 END FROM up) GROUP BY id"""))
 def context_labels(s, d):
@@ -179,9 +179,9 @@ def diversity_cap(s, d):
     a walk of bounded depth. No SQL: greedy choice; tests compare with a plain loop."""
     c = context_nodes(s, d).join(model.nodes(s, d, "id", "kind", "file_path"), "id").select("id", "label", "kind", "file_path")
     # cuts that lose nothing bound the single task: a file takes 5 of a kind at most; at most 8 of each of 39 kinds are kept,
-    # so at most 63 files get full, and a kind's first 8 + 63 * 5 candidates hold all that can be kept of it
+    # so with 20 seeds at most 66 files get full, and a kind's first 8 + 66 * 5 candidates hold all that can be kept of it
     first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("label", "id"))
-    some = c.filter("label > 0").withColumn("rn", first("kind", "file_path")).filter("rn <= 5").withColumn("rn", first("kind")).filter("rn <= 323").drop("rn")
+    some = c.filter("label > 0").withColumn("rn", first("kind", "file_path")).filter("rn <= 5").withColumn("rn", first("kind")).filter("rn <= 338").drop("rn")
     few = c.filter("label = 0").union(some)
     return few.coalesce(1).sortWithinPartitions("label", "id").mapInArrow(_capped(5, 8), "id string, label int, kind string, file_path string")
 
