@@ -136,6 +136,11 @@ class ItemIndex:
             end = np.arange(len(k)) + self.need[item[order]] - 1
             end_ok = np.minimum(end, len(k) - 1)
             good = np.flatnonzero((end < len(k)) & (k[end_ok] == k) & (w[end_ok] - w <= self.span[item[order]]))
+            if len(good):
+                # windows of a band that begin within 24 characters of each other lie on the same diagonals: one of each
+                # run is aligned, and the alignment covers the whole item
+                run = np.concatenate([[0], np.cumsum((k[good[1:]] != k[good[:-1]]) | (w[good[1:]] // 24 != w[good[:-1]] // 24))])
+                good = good[np.concatenate([[True], run[1:] != run[:-1]])]
             for g in good:
                 it = int(item[order[g]])
                 if it in done:
