@@ -82,7 +82,7 @@ def transcript_page(s, d):
 
     t = load(s, d, "transcript_entries").select("session_id", "entry_id", "line_no").distinct()
     w = Window.partitionBy("session_id").orderBy(F.desc("line_no"), F.desc("entry_id"))
-    return t.withColumn("pos", F.row_number().over(w)).filter("pos <= 20").filter("pos > 10").select("session_id", "entry_id", "pos")
+    return t.withColumn("pos", F.row_number().over(w)).filter("pos <= 20").filter("pos > 10").select("session_id", "entry_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("transcript_titles", "SELECT session_id, max(CASE WHEN entry_type = 'ai-title' THEN text END) FILTER (rt = 1) AS title, count(*) AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY session_id, entry_type ORDER BY line_no DESC, entry_id DESC, coalesce(text, '') DESC) AS rt FROM transcript_entries) GROUP BY session_id")

@@ -157,7 +157,7 @@ def flow_chain(s, d):
         cur = cur.join(c, "source").filter(~F.array_contains("chain", F.col("target"))).withColumn("bridges", F.col("bridges") + F.col("bridge")).filter("bridges <= 1")
         cur = cur.select(F.concat("chain", F.array("target")).alias("chain"), F.col("target").alias("source"), "bridges")
         out = out.union(cur)
-    return out.select(F.array_join("chain", " > ").alias("chain"), F.size("chain").cast("long").alias("len")).orderBy(F.desc("len"), "chain").limit(1)
+    return out.select(F.array_join("chain", " > ").alias("chain"), F.size("chain").alias("len")).orderBy(F.desc("len"), "chain").limit(1)
 
 
 @query("explore_budget", sql("SELECT split_part(path, '/', 1) AS member, count(*) AS n_files, CASE WHEN count(*) < 500 THEN 1 WHEN count(*) < 5000 THEN 2 WHEN count(*) < 15000 THEN 3 WHEN count(*) < 25000 THEN 4 ELSE 5 END AS calls, CASE WHEN count(*) < 150 THEN 13000 WHEN count(*) < 500 THEN 18000 ELSE 24000 END AS max_chars FROM f GROUP BY 1"))

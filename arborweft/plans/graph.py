@@ -445,7 +445,7 @@ def node_trail(s, d):
     from pyspark.sql import Window
 
     rn = pair.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("source")))  # filtered to rank 12: Spark cuts before the shuffle
-    return rn.filter("rn <= 12").select(F.col("target").alias("id"), F.col("source").alias("caller"), "rn", "dynamic")
+    return rn.filter("rn <= 12").select(F.col("target").alias("id"), F.col("source").alias("caller"), F.col("rn").cast("long").alias("rn"), "dynamic")
 
 
 @query("source_lines", sql("SELECT n.id, array_to_string(string_split(content, chr(10))[start_line:end_line], chr(10)) AS code FROM n JOIN source_texts t ON t.path = n.file_path WHERE n.kind = 'function' AND t.content IS NOT NULL AND start_line >= 1 AND end_line >= start_line"))

@@ -59,7 +59,7 @@ def resolve_qualified(s, d):
 @query("resolve_fuzzy", sql(f", {_NEAR} SELECT a, b, dist FROM near"))
 def resolve_fuzzy(s, d):
     """Reference names and symbol names within the edit bound."""
-    return op.similar_names(_r(s, d).select(F.lower("reference_name").alias("a")), _n(s, d).select(F.lower("name").alias("b")))
+    return op.similar_names(_r(s, d).select(F.lower("reference_name").alias("a")), _n(s, d).select(F.lower("name").alias("b"))).withColumn("dist", F.col("dist").cast("long"))
 
 
 @query("resolve_score_best", sql(f", rr AS (SELECT * FROM r) SELECT ref_id, strategy, node_id, node_kind, score FROM ({_EXACT}) QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, node_id) = 1"))

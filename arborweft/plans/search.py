@@ -36,8 +36,8 @@ def _nodes(s, d):
     return model.nodes(s, d, *_COLS)
 
 
-_BONUS = "CASE " + " ".join(f"WHEN kind IN ({', '.join(repr(k) for k in ks)}) THEN {v}.0" for v, ks in op.KIND_BONUS.items()) + " ELSE 0.0 END"
-_PATHREL = "CASE WHEN coalesce(file_path, '') = '' THEN 0.0 ELSE greatest(0.0, 5.0 - 0.5 * (length(file_path) - length(replace(file_path, '/', '')))) END"
+_BONUS = "CAST(CASE " + " ".join(f"WHEN kind IN ({', '.join(repr(k) for k in ks)}) THEN {v}.0" for v, ks in op.KIND_BONUS.items()) + " ELSE 0.0 END AS DOUBLE)"
+_PATHREL = "CAST(CASE WHEN coalesce(file_path, '') = '' THEN 0.0 ELSE greatest(0.0, 5.0 - 0.5 * (length(file_path) - length(replace(file_path, '/', '')))) END AS DOUBLE)"
 _TEST = "coalesce(regexp_matches(lower(file_path), '(^|/)(test|spec|__tests__)(/|$)') OR regexp_matches(string_split(lower(file_path), '/')[-1], '_test\\.|\\.test\\.|\\.spec\\.'), false)"
 
 
@@ -94,7 +94,7 @@ def search_tiered(s, d):
     return op.search(_nodes(s, d), "twgi0")
 
 
-@query("kind_bonus", sql(f"SELECT kind, any_value({_BONUS}) AS bonus, count(*) AS n, round(sum({_PATHREL}), 6) AS relevance, sum(CASE WHEN {_TEST} THEN 1 ELSE 0 END) AS n_test FROM n GROUP BY kind"))
+@query("kind_bonus", sql(f"SELECT kind, any_value({_BONUS}) AS bonus, count(*) AS n, round(sum({_PATHREL}), 6) AS relevance, CAST(sum(CASE WHEN {_TEST} THEN 1 ELSE 0 END) AS BIGINT) AS n_test FROM n GROUP BY kind"))
 def kind_bonus(s, d):
     """Q5, Q6, Q8 over all nodes."""
     n = model.nodes(s, d, "id", "kind", "file_path")
@@ -106,7 +106,7 @@ def federated_search(s, d):
     """Q17, M1-M3: the best five per member (the cut is the feature) in one job; members without a hit keep a row of nulls."""
     n = model.nodes(s, d, "id", "kind", "name", "file_path").withColumn("member", F.substring_index("file_path", "/", 1)).filter(F.lower("name").contains("roster") & (F.col("member") != "aldermoor"))
     z = n.select("member", "id", "name", F.round(op.kind_bonus(F.col("kind")) + op.path_relevance(F.col("file_path")), 6).alias("score"))
-    k = z.withColumn("rn", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "id"))).filter("rn <= 5")
+    k = z.withColumn("rn", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "id"))).filter("rn <= 5").withColumn("rn", F.col("rn").cast("long"))
     return load(s, d, "members").select("member").filter("member <> 'aldermoor'").join(k, "member", "left")
 
 
