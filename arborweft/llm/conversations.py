@@ -128,25 +128,55 @@ def turns(entries: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return done.select("session_id", (F.col("local_no") + F.coalesce("skip", F.lit(0))).alias("turn_no"), "role", "at", "entry_id", "text")
 
 
+def _least_squares(bounds: DataFrame, scratch: Scratch) -> DataFrame:
+    """session_id, x: where the sum of squared violations of the bounds (session_id, lower, b) is least. For sessions whose
+    bounds contradict each other: then at least one bound is violated everywhere and x is unique.
+
+    Half the derivative at x is the sum of x - b over the violated bounds (lower ones above x, upper ones below). It grows
+    with x, so x follows the last bound where it is not positive, and is the mean of the bounds violated right of that one.
+    The sums up to each bound are made per range of (session, bound) and stitched, so one session may fill many tasks."""
+    from pyspark.sql import Window
+
+    times = lambda n, b: F.col(n).cast("decimal(18,0)") * F.col(b).cast("decimal(20,0)")
+    points = bounds.groupBy("session_id", "b").agg(F.sum(F.when(F.col("lower"), -1).otherwise(1)).alias("w"), F.count(F.when(F.col("lower"), 1)).alias("n_low"))
+    points = scratch.write(points.repartitionByRange("session_id", "b").withColumn("part", F.spark_partition_id()))
+    runs = points.groupBy("session_id", "part").agg(F.sum("w").alias("w"), F.sum(times("w", "b")).alias("wb"), F.sum("n_low").alias("n_low"), F.sum(times("n_low", "b")).alias("low"))
+    # one row per session and partition; left of all bounds, the lower ones are the violated ones
+    of = Window.partitionBy("session_id")
+    above = of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = runs.select("session_id", "part", (F.sum("n_low").over(of) + F.coalesce(F.sum("w").over(above), F.lit(0))).alias("n0"), (F.sum("low").over(of) + F.coalesce(F.sum("wb").over(above), F.lit(0))).alias("s0"))
+    upto = Window.partitionBy("session_id", "part").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = points.join(start, ["session_id", "part"]).select("session_id", "b", (F.col("n0") + F.sum("w").over(upto)).alias("n"), (F.col("s0") + F.sum(times("w", "b")).over(upto)).alias("s"))
+    last = sums.filter(times("n", "b") <= F.col("s")).groupBy("session_id").agg(F.max(F.struct("b", "n", "s")).alias("p"))
+    return last.select("session_id", (F.col("p.s").cast("double") / F.col("p.n")).alias("x"))
+
+
 def clock_offsets(entries: DataFrame) -> DataFrame:
     """session_id, n_pairs, lowest_s, highest_s, offset_s, feasible: the offset of the assistant's clock to the user's.
 
     Neighbours in order of arrival give constraints: an assistant's row after a user's row must not be earlier, and the
-    other way round, so the offset lies between lowest_s and highest_s. offset_s is the least-squares answer: the point of
-    that interval nearest to 0 where there is one; where the constraints contradict each other, the middle between the
-    two bounds, which spreads the error evenly over both. Sessions without such neighbours have the offset 0."""
+    other way round, so the offset lies between lowest_s and highest_s. offset_s is the least-squares answer: where the
+    constraints contradict each other, the offset with the least sum of squared violations over all of them; else none is
+    violated between the two bounds, and it is the point there nearest to 0. Sessions without such neighbours have no row."""
     from pyspark.sql import Window
 
+    scratch = Scratch(entries.sparkSession, "clocks")
     m = messages(entries).filter("at is not null and role is not null").select("session_id", "line_no", "entry_id", "role", F.unix_micros("at").alias("t"))
     # arrival numbers are per session and dense, so blocks of them are a salt: a huge session does not fill one task
     block = F.floor(F.coalesce(F.col("line_no"), F.lit(0)) / 4096)
     w = Window.partitionBy("session_id", "block").orderBy("line_no", "entry_id")
     n = m.withColumn("block", block).withColumn("t0", F.lag("t").over(w)).withColumn("r0", F.lag("role").over(w)).filter("r0 is not null and r0 <> role")
-    gap = (F.col("t0") - F.col("t")) / 1e6
-    by = n.groupBy("session_id").agg(F.count("*").alias("n_pairs"), F.max(F.when(F.col("role") == "assistant", gap)).alias("lowest_s"), F.min(F.when(F.col("role") == "user", -gap)).alias("highest_s"))
-    lo, hi = F.coalesce("lowest_s", F.lit(float("-inf"))), F.coalesce("highest_s", F.lit(float("inf")))
-    mid = F.when(lo > hi, (F.col("lowest_s") + F.col("highest_s")) / 2).when(lo > 0, F.col("lowest_s")).when(hi < 0, F.col("highest_s")).otherwise(F.lit(0.0))
-    return by.select("session_id", "n_pairs", "lowest_s", "highest_s", mid.alias("offset_s"), (lo <= hi).alias("feasible"))
+    lower = F.col("role") == "assistant"
+    bounds = scratch.write(n.select("session_id", lower.alias("lower"), F.when(lower, F.col("t0") - F.col("t")).otherwise(F.col("t") - F.col("t0")).alias("b")))
+    by = bounds.groupBy("session_id").agg(F.count("*").alias("n_pairs"), F.max(F.when(F.col("lower"), F.col("b"))).alias("lo"), F.min(F.when(~F.col("lower"), F.col("b"))).alias("hi"))
+    by = scratch.write(by)
+    # the answer lies between hi and lo there: bounds that hold over all of that stretch have no say
+    torn = by.filter("lo > hi").select("session_id", "lo", "hi")
+    say = bounds.join(torn, "session_id").filter(F.when(F.col("lower"), F.col("b") > F.col("hi")).otherwise(F.col("b") < F.col("lo")))
+    x = _least_squares(say.select("session_id", "lower", "b"), scratch)
+    s = lambda c: F.col(c) / 1e6
+    offset = F.when(F.col("x").isNotNull(), s("x")).when(F.col("lo") > 0, s("lo")).when(F.col("hi") < 0, s("hi")).otherwise(F.lit(0.0))
+    return by.join(x, "session_id", "left").select("session_id", "n_pairs", s("lo").alias("lowest_s"), s("hi").alias("highest_s"), offset.alias("offset_s"), F.coalesce(F.col("lo") <= F.col("hi"), F.lit(True)).alias("feasible"))
 
 
 FOUND_SQL = r"""WITH last AS (SELECT * FROM transcript_entries QUALIFY row_number() OVER (PARTITION BY coalesce(entry_id, 'null' || rowid_) ORDER BY loaded_at DESC NULLS LAST, line_no DESC NULLS LAST, coalesce(ts, '') DESC, coalesce(text, '') DESC, coalesce(blocks, '') DESC) = 1),

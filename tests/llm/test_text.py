@@ -127,6 +127,38 @@ def test_clock_offset_is_the_least_squares_answer(spark):
     assert (r["lowest_s"], r["highest_s"], r["offset_s"], r["feasible"]) == (3.0, 13.0, 3.0, True)
 
 
+def neighbours(spec):
+    """Per session its bounds [(lower, seconds)], by a plain loop over the spec of entries()."""
+    out, last = {}, {}
+    for s, role, _, at, _, _ in spec:
+        if s in last and last[s][0] != role:
+            out.setdefault(s, []).append((role == "assistant", last[s][1] - at if role == "assistant" else at - last[s][1]))
+        last[s] = (role, at)
+    return out
+
+
+def test_clock_offset_of_contradicting_bounds_minimises_squares(spark):
+    rnd = random.Random(7)
+    spec = [(f"s{i}", rnd.choice(["user", "assistant"]), None, rnd.randrange(60), "t", None) for i in range(40) for _ in range(rnd.randrange(2, 14))]
+    # offset >= 10 once, <= 0 three times: the midpoint of the extreme bounds is 5, the least squares answer is 2.5
+    spec += [("x", r, None, t, "t", None) for r, t in (("user", 10), ("assistant", 0), ("user", 0), ("user", 20), ("assistant", 20), ("user", 20), ("assistant", 40), ("user", 40))]
+    want = neighbours(spec)
+    got = {r["session_id"]: r for r in conversations.clock_offsets(entries(spark, spec)).collect()}
+    assert got.keys() == want.keys() and {r["feasible"] for r in got.values()} == {True, False}
+    assert got["x"]["offset_s"] == 2.5
+    for s, bounds in want.items():
+        lo, hi = max([b for low, b in bounds if low], default=-1e9), min([b for low, b in bounds if not low], default=1e9)
+        assert got[s]["n_pairs"] == len(bounds) and got[s]["feasible"] == (lo <= hi)
+        if lo <= hi:
+            assert got[s]["offset_s"] == min(max(0, lo), hi)
+            continue
+        for _ in range(100):
+            x = (lo + hi) / 2
+            slope = sum(x - b for low, b in bounds if (b > x if low else b < x))
+            lo, hi = (x, hi) if slope > 0 else (lo, x)
+        assert got[s]["offset_s"] == pytest.approx(x, abs=1e-6)
+
+
 # --- problem 5 --------------------------------------------------------------------------------------------------------
 
 GOOD = {
