@@ -128,6 +128,28 @@ def turns(entries: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return done.select("session_id", (F.col("local_no") + F.coalesce("skip", F.lit(0))).alias("turn_no"), "role", "at", "entry_id", "text")
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours of different roles in a sorted partition, and with edge 0 and 1 its first and last row. Columns in: part,
+    session_id, role, t."""
+    names, types = ("part", "session_id", "edge", "role", "t", "role0", "t0"), (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    schema = pa.schema([*zip(names, types)])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], schema=schema)
+    last = None
+    for b in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            part, session, role, t = row
+            if last is None:
+                out.append((part, session, 0, role, t, None, None))
+            elif last[1] == session and last[2] != role:
+                out.append((part, session, None, role, t, last[2], last[3]))
+            last = row
+        if out:
+            yield batch(out)
+    if last:
+        yield batch([(*last[:2], 1, *last[2:], None, None)])
+
+
 def _least_squares(bounds: DataFrame, scratch: Scratch) -> DataFrame:
     """session_id, x: where the sum of squared violations of the bounds (session_id, lower, b) is least. For sessions whose
     bounds contradict each other: then at least one bound is violated everywhere and x is unique.
@@ -162,12 +184,15 @@ def clock_offsets(entries: DataFrame) -> DataFrame:
 
     scratch = Scratch(entries.sparkSession, "clocks")
     m = messages(entries).filter("at is not null and role is not null").select("session_id", "line_no", "entry_id", "role", F.unix_micros("at").alias("t"))
-    # arrival numbers are per session and dense, so blocks of them are a salt: a huge session does not fill one task
-    block = F.floor(F.coalesce(F.col("line_no"), F.lit(0)) / 4096)
-    w = Window.partitionBy("session_id", "block").orderBy("line_no", "entry_id")
-    n = m.withColumn("block", block).withColumn("t0", F.lag("t").over(w)).withColumn("r0", F.lag("role").over(w)).filter("r0 is not null and r0 <> role")
+    keys = [F.col("session_id"), F.col("line_no").asc_nulls_first(), F.col("entry_id")]
+    m = m.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    n = scratch.write(m.select("part", "session_id", "role", "t").mapInArrow(_neighbours, "part int, session_id string, edge int, role string, t long, role0 string, t0 long"))
+    # a session goes on from the last row of a partition to the first row of the next: two rows for each partition
+    w = Window.partitionBy("session_id").orderBy("part", "edge")
+    rim = n.filter("edge is not null").select("session_id", "edge", "role", "t", F.lag("role").over(w).alias("role0"), F.lag("t").over(w).alias("t0"))
+    pairs = n.filter("edge is null").select("session_id", "role", "t", "t0").union(rim.filter("edge = 0 and role <> role0").select("session_id", "role", "t", "t0"))
     lower = F.col("role") == "assistant"
-    bounds = scratch.write(n.select("session_id", lower.alias("lower"), F.when(lower, F.col("t0") - F.col("t")).otherwise(F.col("t") - F.col("t0")).alias("b")))
+    bounds = scratch.write(pairs.select("session_id", lower.alias("lower"), F.when(lower, F.col("t0") - F.col("t")).otherwise(F.col("t") - F.col("t0")).alias("b")))
     by = bounds.groupBy("session_id").agg(F.count("*").alias("n_pairs"), F.max(F.when(F.col("lower"), F.col("b"))).alias("lo"), F.min(F.when(~F.col("lower"), F.col("b"))).alias("hi"))
     by = scratch.write(by)
     # the answer lies between hi and lo there: bounds that hold over all of that stretch have no say

@@ -159,6 +159,26 @@ def test_clock_offset_of_contradicting_bounds_minimises_squares(spark):
         assert got[s]["offset_s"] == pytest.approx(x, abs=1e-6)
 
 
+def test_clock_constraints_of_one_session_over_many_partitions(spark):
+    """The tightest pairs lie on either side of line 4,096, and of every border between partitions."""
+    n = 10_000
+    late = (F.col("id") == 4095) | (F.col("id") % 1250 == 1249)
+    rows_ = spark.range(n).select(
+        F.concat(F.lit("e"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("entry_id"), F.lit("big").alias("session_id"), F.lit("m").alias("member"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("entry_type"),
+        F.lit(None).cast("string").alias("role"), F.date_format(F.timestamp_seconds(F.col("id") * 10 + F.when(late, 9).otherwise(0) + 1_700_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit(False).alias("sidechain"), F.lit("t").alias("text"), F.lit(None).cast("string").alias("blocks"), F.lit("2025-01-01").cast("timestamp_ntz").alias("loaded_at"),
+    )
+    none = rows_.withColumn("line_no", F.lit(None).cast("int"))  # order by entry_id alone
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (rows_, none):
+            parts = conversations.messages(df).repartitionByRange("session_id", "line_no", "entry_id").withColumn("p", F.spark_partition_id())
+            assert parts.select("p").distinct().count() > 1
+            r = conversations.clock_offsets(df).first()
+            assert (r["n_pairs"], r["lowest_s"], r["highest_s"], r["offset_s"], r["feasible"]) == (n - 1, -10.0, 1.0, 0.0, True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 # --- problem 5 --------------------------------------------------------------------------------------------------------
 
 GOOD = {
