@@ -2,13 +2,16 @@
 
 Links are (edge_kind, parent, child). A component that fits one task (`max_links`) is traversed there; larger ones are
 first trimmed of all links that lie on no loop and, where still too large, solved by label propagation over DataFrames,
-so no unbounded group ever reaches one task.
+so no unbounded group ever reaches one task. Only back edges need the order of one traversal: there a component that stays
+too large is traversed in one task, as arrays of numbers.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -302,18 +305,114 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop_members(links(spark, sf_dir))
 
 
-def back_edges(spark: SparkSession, sf_dir: str, max_links: int = MAX_LINKS) -> DataFrame:
-    """The links that close a loop in the depth-first traversal (vertices and children in order of id). In a component too
-    large for one task: every link inside a loop that leads to the loop's least vertex or to a smaller or equal id."""
-    lk = links(spark, sf_dir)
-    scratch = Scratch(spark, "backedges")
+def _towards_loops(lk: DataFrame, scratch: Scratch) -> DataFrame:
+    """Drop links whose child has no child, pass by pass: no loop is reached through them, so the traversal of the rest stays
+    the same. This only saves work, and ends when a pass drops less than a tenth."""
+    cur = scratch.write(lk)
+    n = cur.count()
+    while n:
+        new = scratch.write(cur.join(cur.select("edge_kind", F.col("parent").alias("child")).distinct(), ["edge_kind", "child"], "left_semi").select(*lk.columns))
+        scratch.drop(cur)
+        cur, before, n = new, n, new.count()
+        if n > before * 0.9:
+            break
+    return cur
+
+
+def _back_positions(parents: np.ndarray, children: np.ndarray, n: int) -> array:
+    """Positions of the back edges among links sorted by parent and child, of the same traversal as in loops()."""
+    begin = np.searchsorted(parents, np.arange(n + 1))
+    at, end, child = memoryview(begin[:-1].copy()), memoryview(begin[1:].copy()), memoryview(children)
+    colour, stack, back = bytearray(n), array("q"), array("q")  # colour: 0 unseen, 1 on the path, 2 left
+    for start in range(n):
+        if colour[start]:
+            continue
+        colour[start] = 1
+        stack.append(start)
+        while stack:
+            v = stack[-1]
+            i = at[v]
+            if i == end[v]:
+                colour[v] = 2
+                stack.pop()
+                continue
+            at[v] = i + 1
+            w = child[i]
+            if not colour[w]:
+                colour[w] = 1
+                stack.append(w)
+            elif colour[w] == 1:
+                back.append(i)
+    return back
+
+
+def _back_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Back edges of whole components as codes. Columns in: base (the least code of the component), parent, child, sorted; the
+    codes of a component are dense. Held as arrays of numbers, one component at a time."""
+    base, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        p, c = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        back = np.array(_back_positions(p, c, int(max(p.max(), c.max())) + 1), np.int64)
+        for i in range(0, len(back), 50_000):
+            k = back[i : i + 50_000]
+            yield pa.RecordBatch.from_pydict({"parent": pa.array(p[k].astype(np.int64) + base), "child": pa.array(c[k].astype(np.int64) + base)})
+
+    for b in batches:
+        bases, p, c = (x.to_numpy() for x in b.columns)
+        cuts = [0, *(np.flatnonzero(np.diff(bases)) + 1).tolist(), len(bases)]
+        for i, k in zip(cuts, cuts[1:]):
+            if i == k:
+                continue
+            if held and base != int(bases[i]):
+                yield from done()
+            base = int(bases[i])
+            held.append(((p[i:k] - base).astype(np.int32), (c[i:k] - base).astype(np.int32)))
+    if held:
+        yield from done()
+
+
+def _back_by_codes(large: DataFrame, scratch: Scratch) -> DataFrame:
+    """Back edges of components with too many links for lists of texts (edge_kind, parent, child, comp): ids become dense
+    numbers in their order by a range partition, and the traversal runs over arrays of numbers. A depth-first traversal is one
+    sequence of steps, so each such component is one task, with some 16 bytes a link and 40 a vertex."""
+    from pyspark.sql import Window
+
+    ids = large.select("comp", "edge_kind", F.col("parent").alias("v")).union(large.select("comp", "edge_kind", F.col("child").alias("v"))).distinct()
+    ids = scratch.write(ids.repartitionByRange("comp", "edge_kind", "v").withColumn("part", F.spark_partition_id()))
+    skip = ids.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))  # a row for each partition
+    no = F.row_number().over(Window.partitionBy("part").orderBy("comp", "edge_kind", "v")).cast("long") - 1
+    ids = scratch.write(ids.withColumn("no", no).join(F.broadcast(skip), "part").select("comp", "edge_kind", "v", (F.col("no") + F.col("skip")).alias("code")))
+    base = ids.groupBy("comp").agg(F.min("code").alias("base"))  # at most links / max_links rows
+    a, b = (ids.select("comp", "edge_kind", F.col("v").alias(x), F.col("code").alias(x[0])) for x in ("parent", "child"))
+    coded = large.join(a, ["comp", "edge_kind", "parent"]).join(b, ["comp", "edge_kind", "child"]).join(F.broadcast(base), "comp").select("base", "p", "c")
+    near = coded.repartition("base").sortWithinPartitions("base", "p", "c")
+    hit = scratch.write(near.mapInArrow(_back_codes, "parent long, child long"))
+    a, b = (ids.select("edge_kind", F.col("v").alias(x), F.col("code").alias(x[0])) for x in ("parent", "child"))
+    return hit.toDF("p", "c").join(a, "p").join(b.drop("edge_kind"), "c").select("edge_kind", "parent", "child")
+
+
+def back_edges_of(lk: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
+    """The links that close a loop in the depth-first traversal (vertices and children in order of id), in components of any
+    size. Larger ones are first freed of what leads to no loop, and split again."""
+    scratch = Scratch(lk.sparkSession, "backedges")
+    schema = "edge_kind string, parent string, child string"
     small, large = _split(scratch.write(lk), scratch, max_links)
-    res = _traverse(small, _back_rows, "edge_kind string, parent string, child string")
+    res = _traverse(small, _back_rows, schema)
     if large is None:
         return res
-    hit = scratch.write(loop_members(large.select("edge_kind", "parent", "child"), max_links))
-    a, b = (hit.select("edge_kind", F.col("node_id").alias(x), F.col("cycle_id").alias(f"{x}_c")) for x in ("parent", "child"))
-    return res.union(large.join(a, ["edge_kind", "parent"]).join(b, ["edge_kind", "child"]).filter("parent_c = child_c and child <= parent").select("edge_kind", "parent", "child"))
+    rest = _towards_loops(large.select("edge_kind", "parent", "child"), scratch)
+    if rest.isEmpty():
+        return res
+    again, still = _split(rest, scratch, max_links)
+    res = res.union(_traverse(again, _back_rows, schema))
+    return res if still is None else res.union(_back_by_codes(still.select("edge_kind", "parent", "child", "comp"), scratch))
+
+
+def back_edges(spark: SparkSession, sf_dir: str, max_links: int = MAX_LINKS) -> DataFrame:
+    """p3_back_edges."""
+    return back_edges_of(links(spark, sf_dir), max_links)
 
 
 def tree(lk: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:

@@ -131,6 +131,25 @@ def test_back_edges_match_a_plain_traversal(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_back_edges_are_the_same_at_every_size(spark, seed):
+    """a -> z, z -> b, b -> z enters the loop at z, so (b, z) closes it, in a small component and in a large one."""
+    links = [*graph(seed, 40, 100), *((k, *x) for k in "cd" for x in (("a", "z"), ("z", "b"), ("b", "z"), ("é", "é")))]
+    out, num = hierarchy._adjacency(*zip(*links))
+    _, back = hierarchy.loops(out)
+    want = sorted((*num[v], num[w][1]) for v, w in back)
+    lk = spark.createDataFrame(links, "edge_kind string, parent string, child string")
+    assert ("c", "b", "z") in want and ("c", "z", "b") not in want
+    for size in (hierarchy.MAX_LINKS, 20, 3):
+        assert rows(hierarchy.back_edges_of(lk, max_links=size)) == want
+
+
+def test_back_edges_of_a_long_loop(spark):
+    links = [("contains", f"v{i:05d}", f"v{(i + 1) % 5000:05d}") for i in range(5000)] + [("contains", f"v{i:05d}", f"w{i:05d}") for i in range(5000)]
+    lk = spark.createDataFrame(links, "edge_kind string, parent string, child string")
+    assert rows(hierarchy.back_edges_of(lk, max_links=100)) == [("contains", "v04999", "v00000")]
+
+
 def test_orphans_by_hand(spark):
     uses = spark.createDataFrame([("a", "e|1"), ("a", "e|1"), ("b", "e|1"), ("b", "u|2"), ("c", "e|2"), (None, "e|1"), ("d", "e|1")], "key string, use string")
     parents = spark.createDataFrame([("a", 5), ("c", 5), ("d", None), ("c", 9), (None, 1)], "key string, updated_at long")
