@@ -19,7 +19,6 @@ from arborweft.sources.tables import load
 
 #: Bytes from which a file counts as tool output or data whatever its text says.
 HUGE = 1_000_000
-HEADER_LINES = 25
 
 # Phrases of header comments, lower case, single blanks. sure: enough alone; origin and warning: enough
 # together; third: marks a copied project file; doubt: the line only talks about such files.
@@ -74,9 +73,9 @@ _PROJECT = re.compile(
 def header_reason(text: str) -> str | None:
     """Looks at the comment lines before the first code line, and at the one comment that may follow it."""
     seen = 0
-    inside = False
-    for line in text.split("\n", HEADER_LINES + 1)[:HEADER_LINES]:
-        x = line.strip("\r﻿ \t")
+    inside = ""  # the mark that ends the open comment
+    for line in re.finditer(r"[^\n]+", text):
+        x = line[0].strip("\r﻿ \t")
         if not x or x.startswith("#!"):
             continue
         opens = x.startswith(("//", "/*", "#", "--", "<!--", "*", ";")) or x[:3] in ('"""', "'''")
@@ -85,10 +84,13 @@ def header_reason(text: str) -> str | None:
             if seen > 3 or not re.match(r"(?:package|import|from|'use strict'|\"use strict\"|use|namespace)\b|['\"]use strict", x):
                 break
             continue
-        if x.startswith("/*") and "*/" not in x or x[:3] in ('"""', "'''") and x.count(x[:3]) == 1:
-            inside = not inside
-        elif "*/" in x or inside and x.endswith(('"""', "'''")):
-            inside = False
+        if inside:
+            if inside in x:
+                inside = ""
+        elif x.startswith("/*"):
+            inside = "" if "*/" in x[2:] else "*/"
+        elif x[:3] in ('"""', "'''") and x.count(x[:3]) == 1:
+            inside = x[:3]
         x = _MARK.sub("", _MARK.sub("", x)).strip()
         low = " ".join(x.lower().split())
         kinds: dict[str, int] = {}

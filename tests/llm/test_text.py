@@ -275,6 +275,13 @@ def test_handwritten(path, text):
     assert provenance.reason(path, "x", 9, text) is None
 
 
+@pytest.mark.parametrize("head", ["/*\n" + " * licence text\n\n" * 40 + " * %s\n */\n", "// licence text\n" * 40 + "// %s\n", '"""\n' + "licence text\n" * 40 + '%s\n"""\n', "# licence text\n" * 40 + "# %s\n"])
+def test_notice_below_a_long_licence(head):
+    notice = "Code generated by protoc-gen-go. DO NOT EDIT."
+    assert provenance.header_reason(head % notice + "x = 1\n") == "generation notice"
+    assert provenance.header_reason(head % "the end" + "x = 1\ny = 2\n// " + notice) is None
+
+
 # --- problem 8 --------------------------------------------------------------------------------------------------------
 
 
