@@ -80,12 +80,16 @@ def lex(text: str, language: str) -> list[tuple[str, int, int]]:
 
 _FUNC = {
     "go": re.compile(r"(?m)^func\s*(?:\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\("),
-    "javascript": re.compile(r"(?:^|(?<=\n))[ \t]*(?:export\s+)?(?:default\s+)?(?:static\s+)?(?:async\s+)?(?:function\s*\*?\s*)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|with\b|else\b|new\b|throw\b|await\b|typeof\b)([A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\("),
-    "java": re.compile(r"(?:^|(?<=\n))[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>{]*>\s*)?(?!return\b|new\b|throw\b|else\b)[\w.<>\[\], ?]+?\s+(\w+)\s*\("),
+    "javascript": re.compile(r"(?:^|(?<=\n))[ \t]*(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|readonly|override|static|async|get|set)\s+)*(?:function\s*\*?\s*)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|with\b|else\b|new\b|throw\b|await\b|typeof\b)([A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\("),
+    "java": re.compile(r"(?:^|(?<=\n))[ \t]*(?:@[\w.]+(?:\([^()\n]*\))?[ \t]+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>{]*>\s*)?(?!return\b|new\b|throw\b|else\b)[\w.<>\[\], ?]+?\s+(\w+)\s*\("),
     "sql": re.compile(r"(?i)create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.\"]+)\s*\("),
     "python": re.compile(r"(?m)^([ \t]*)(?:async\s+)?def\s+(\w+)\s*\("),
 }
 _CONTROL = frozenset("if for while switch catch synchronized try do else return new".split())
+#: Functions given to a name: const f = (a) => ..., f = async a => ..., x.f = function (a) ...
+_GIVEN = re.compile(
+    r"(?:^|(?<=\n))[ \t]*(?:export\s+)?(?:(?:const|let|var)\s+|(?:(?:public|private|protected|readonly|static)\s+)*(?:[A-Za-z_$][\w$]*\.)*)([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\b\s*)?(?:(function)\b\s*\*?\s*[\w$]*\s*)?(?:<[^>{]*>\s*)?(?:\(|([A-Za-z_$][\w$]*)(?=\s*=>))"
+)
 _FUNC["typescript"] = _FUNC["javascript"]
 
 
@@ -102,6 +106,70 @@ def _match(text: str, at: int, pair: str) -> int:
     return -1
 
 
+def _body(bare: str, close: int, language: str) -> int:
+    """Position of the brace that opens the body behind the parameters that end at `close`, or -1. Braces of the result type
+    are passed over."""
+    at, typed = close, language != "typescript"
+    for m in iter(lambda: re.compile(r"[{(;]").search(bare, at), None):
+        if m[0] == ";":
+            return -1
+        before = bare[close : m.start()].rstrip()
+        if m[0] == "{" and not (re.search(r"\b(?:interface|struct)$", before) if typed else re.search(r"(?:[:<|&,\[]|=>)$", before)):
+            return m.start()
+        at = _match(bare, m.start(), "{}" if m[0] == "{" else "()")
+        if at < 0:
+            return -1
+    return -1
+
+
+def _given(text: str, bare: str, language: str) -> Iterator[tuple[str, int, int, str]]:
+    """(name, begin, end, signature) of the functions that _GIVEN finds."""
+    for m in _GIVEN.finditer(bare):
+        head = m.start() + len(m.group()) - len(m.group().lstrip())
+        close = m.end() if m.group(3) else _match(bare, m.end() - 1, "()")
+        if close < 0:
+            continue
+        if m.group(2):
+            brace = _body(bare, close, language)
+        else:
+            arrow = re.compile(r"\s*(?::(?:[^={};]|\{[^{}]*\})*)?=>\s*").match(bare, close)
+            if not arrow:
+                continue
+            brace = arrow.end()
+        if brace < 0:
+            continue
+        if bare.startswith("{", brace):
+            end = _match(bare, brace, "{}")
+        else:  # an expression: up to the first semicolon or line end outside brackets
+            depth, end = 0, brace
+            while end < len(bare) and not (depth == 0 and bare[end] in ";\n,)"):
+                depth += (bare[end] in "([{") - (bare[end] in ")]}")
+                end += 1
+        if end > brace:
+            yield m.group(1), head, end, text[m.start(3) if m.group(3) else m.end() - 1 : close]
+
+
+def _decorated(text: str, bare: str, head: int) -> int:
+    """Where the annotations or decorators directly above `head` begin."""
+    while True:
+        at = head
+        while at and text[at - 1].isspace():
+            at -= 1
+        begin = at
+        if at and bare[at - 1] == ")":
+            depth = 0
+            while begin:
+                begin -= 1
+                depth += (bare[begin] == ")") - (bare[begin] == "(")
+                if not depth:
+                    break
+        low = max(0, begin - 200)
+        m = re.search(r"@[\w.]+[ \t]*$", bare[low:begin])
+        if not m or text.count("\n", at, head) > 1:
+            return head
+        head = low + m.start()
+
+
 def functions(text: str, language: str) -> Iterator[tuple[str, int, int, str, str]]:
     """(name, first line, last line, signature, documentation as it stands) of each function of a source text."""
     if language not in LEXIS or not text:
@@ -139,20 +207,24 @@ def functions(text: str, language: str) -> Iterator[tuple[str, int, int, str, st
             doc = ""
             if i < len(strings) and not bare[colon + 1 : strings[i][0]].strip(" \t\r\nrRuU") and strings[i][0] < end:
                 doc = text[slice(*strings[i])]
-            yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end) + 1, sig, doc or _before(text, comments, ends, head)
+            yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end) + 1, sig, doc or _before(text, comments, ends, _decorated(text, bare, head))
             continue
         if language == "sql":
             end = next((b for a, b in strings if a > close and text[a:b].startswith("$$")), None) or bare.find(";", close)
             end = len(text) if end < 0 else end
         else:
-            brace = bare.find("{", close)
-            if brace < 0 or ";" in bare[close:brace] or (language in ("javascript", "typescript") and re.search(r"[=)\n]\s*$|\n\s*\n", bare[close:brace].rstrip(" ") or "x") and bare[close:brace].strip()[:1] not in ("", ":")):
+            brace = _body(bare, close, language)
+            if brace < 0 or (language in ("javascript", "typescript") and bare[close:brace].strip()[:1] not in ("", ":")):
                 continue
             end = _match(bare, brace, "{}")
             if end < 0:
                 continue
         sig = text[m.end() - 1 : close]
-        yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end - 1) + 1, sig, _before(text, comments, ends, head)
+        yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end - 1) + 1, sig, _before(text, comments, ends, _decorated(text, bare, head))
+
+    if language in ("javascript", "typescript"):
+        for name, head, end, sig in _given(text, bare, language):
+            yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end - 1) + 1, sig, _before(text, comments, ends, _decorated(text, bare, head))
 
 
 def _before(text: str, comments: list, ends: list, head: int) -> str:

@@ -78,6 +78,17 @@ def test_functions_are_cut_with_their_comments():
     assert [(n, a, b, d) for n, a, b, _, d in docpairs.functions(js, "javascript")] == [("f", 2, 2, "/** Doc. */")]
 
 
+def test_functions_of_less_common_forms():
+    cut = lambda t, lang: [(n, a, b, d) for n, a, b, _, d in docpairs.functions(t, lang)]
+    java = 'class A {\n  /** Doc. */\n  @Override\n  @B(x = {1}, y = "(")\n  public int f() {\n    return g(1);\n  }\n\n  /** Two. */\n  @C public int h() { return 1; }\n}\n'
+    assert cut(java, "java") == [("f", 5, 7, "/** Doc. */"), ("h", 10, 10, "/** Two. */")]
+    ts = "class A {\n  /** Doc. */\n  @D()\n  private static async f(a: number): Promise<{ b: string }> {\n    return g(a);\n  }\n\n  /** Get. */\n  public get x() { return 1; }\n}\n\n/** Arrow. */\nexport const h = async (a: string): Promise<void> => {\n  i(a);\n};\n\n/** Short. */\nconst k = x => x + 1;\n\n/** Given. */\nlet m = function (a) { return a; };\nfoo(1);\nconst n = (1 + 2) * 3;\n"
+    assert cut(ts, "typescript") == [("f", 4, 6, "/** Doc. */"), ("x", 9, 9, "/** Get. */"), ("h", 13, 15, "/** Arrow. */"), ("k", 18, 18, "/** Short. */"), ("m", 21, 21, "/** Given. */")]
+    assert cut("foo(1)\nbar(function () { return 1 })\nclass A {\n}\n", "javascript") == []
+    go = "// F does.\nfunc F(a int) (interface{}, error) {\n\treturn a, nil\n}\n\n// G does.\nfunc G() map[string]struct{} {\n\treturn nil\n}\n"
+    assert cut(go, "go") == [("F", 2, 4, "// F does."), ("G", 7, 9, "// G does.")]
+
+
 # --- problem 4 --------------------------------------------------------------------------------------------------------
 
 _ENTRY = "entry_id string, session_id string, member string, line_no int, entry_type string, role string, ts string, sidechain boolean, text string, blocks string, loaded_at timestamp_ntz"
