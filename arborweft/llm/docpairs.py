@@ -1,14 +1,17 @@
 """Functions paired with their documentation (problem 1).
 
-Two ways in: the nodes table (signature, docstring, and the source text of a symbol by path and lines) and raw source
-files, from which functions are cut by a string- and comment-aware lexer that matches braces and keeps the comment
-directly before each function. Both send the documentation through the same lexer and the same judgement.
+Functions are cut from source texts by a string- and comment-aware lexer that matches braces and keeps the comment directly
+before each function (over annotations and decorators). The cut functions meet the symbols of the nodes table by path, line
+and name and give them documentation and code; a symbol whose file has no text keeps the docstring of its row. All
+documentation goes through the same cleaning and the same judgement.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,25 +33,45 @@ LEXIS = {
 _RAW = {"`": {"go"}, "$$": {"sql"}}  # quotes inside which a backslash stands for itself
 
 
+@lru_cache(None)
+def _openers(language: str) -> re.Pattern:
+    lines, blocks, quotes = LEXIS[language]
+    marks = sorted([*lines, *(a for a, _ in blocks), *quotes], key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, marks)) + (r"|/(?![/*])" if language in ("javascript", "typescript") else ""))
+
+
+@lru_cache(None)
+def _rest_of_string(mark: str, language: str) -> re.Pattern:
+    """What follows an opening quote, up to and with the closing one (or the end of line or text where there is none)."""
+    q, one_line = re.escape(mark), len(mark) == 1 and mark in "\"'" and language != "sql"
+    escapes = language not in _RAW.get(mark, ()) and language != "sql"
+    barred = (r"\\" if escapes else "") + (r"\n" if one_line else "")
+    inside = (r"\\.|" if escapes else "") + f"(?!{q})" + (f"[^{barred}]" if barred else ".")
+    return re.compile(rf"(?:{inside})*+(?:{q})?", re.S)
+
+
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_BEFORE_REGEX = re.compile(r"\b(?:return|typeof|case|in|of|delete|void|throw|new)$")
+
+
 def lex(text: str, language: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) over the whole text; kind is line, block, string or code. One pass, no backtracking."""
-    lines, blocks, quotes = LEXIS[language]
-    openers = sorted([*lines, *(a for a, _ in blocks), *quotes], key=len, reverse=True)
-    stop = re.compile("|".join(map(re.escape, openers)) + (r"|/(?![/*])" if language in ("javascript", "typescript") else ""))
+    lines, blocks, _ = LEXIS[language]
+    stop = _openers(language)
     out, at, code = [], 0, 0
     closing = dict(blocks)
     while m := stop.search(text, at):
         mark, begin = m.group(), m.start()
         if mark == "/":
             before = text[max(0, begin - 60) : begin].rstrip()
-            if before and (before[-1] not in "(,=:[!&|?{};+-*%<>~^" and not re.search(r"\b(?:return|typeof|case|in|of|delete|void|throw|new)$", before)):
+            if before and (before[-1] not in "(,=:[!&|?{};+-*%<>~^" and not _BEFORE_REGEX.search(before)):
                 at = m.end()
                 continue
-            r = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*").match(text, begin)
-            end, kind = (r.end(), "string") if r else (m.end(), "code")
-            if kind == "code":
-                at = end
+            r = _REGEX.match(text, begin)
+            if not r:
+                at = m.end()
                 continue
+            kind, end = "string", r.end()
         elif mark in lines:
             end, kind = text.find("\n", begin), "line"
             end = len(text) if end < 0 else end
@@ -56,19 +79,7 @@ def lex(text: str, language: str) -> list[tuple[str, int, int]]:
             end, kind = text.find(closing[mark], m.end()), "block"
             end = len(text) if end < 0 else end + len(closing[mark])
         else:
-            kind, end = "string", m.end()
-            raw = language in _RAW.get(mark, ())
-            while end < len(text):
-                if text[end] == "\\" and not raw and language != "sql":
-                    end += 2
-                elif text.startswith(mark, end):
-                    end += len(mark)
-                    break
-                elif len(mark) == 1 and mark in "\"'" and text[end] == "\n" and language != "sql":
-                    break
-                else:
-                    end += 1
-            end = min(end, len(text))
+            kind, end = "string", _rest_of_string(mark, language).match(text, m.end()).end()
         if begin > code:
             out.append(("code", code, begin))
         out.append((kind, begin, end))
@@ -81,7 +92,6 @@ def lex(text: str, language: str) -> list[tuple[str, int, int]]:
 _FUNC = {
     "go": re.compile(r"(?m)^func\s*(?:\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\("),
     "javascript": re.compile(r"(?:^|(?<=\n))[ \t]*(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|readonly|override|static|async|get|set)\s+)*(?:function\s*\*?\s*)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|with\b|else\b|new\b|throw\b|await\b|typeof\b)([A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\("),
-    "java": re.compile(r"(?:^|(?<=\n))[ \t]*(?:@[\w.]+(?:\([^()\n]*\))?[ \t]+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>{]*>\s*)?(?!return\b|new\b|throw\b|else\b)[\w.<>\[\], ?]+?\s+(\w+)\s*\("),
     "sql": re.compile(r"(?i)create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.\"]+)\s*\("),
     "python": re.compile(r"(?m)^([ \t]*)(?:async\s+)?def\s+(\w+)\s*\("),
 }
@@ -91,55 +101,80 @@ _GIVEN = re.compile(
     r"(?:^|(?<=\n))[ \t]*(?:export\s+)?(?:(?:const|let|var)\s+|(?:(?:public|private|protected|readonly|static)\s+)*(?:[A-Za-z_$][\w$]*\.)*)([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\b\s*)?(?:(function)\b\s*\*?\s*[\w$]*\s*)?(?:<[^>{]*>\s*)?(?:\(|([A-Za-z_$][\w$]*)(?=\s*=>))"
 )
 _FUNC["typescript"] = _FUNC["javascript"]
+#: Java: a name before a bracket, behind something that can end a type; what stands before it must be a declaration's head.
+_JAVA_NAME = re.compile(r"(?<=[\w>\]])\s+([A-Za-z_$][\w$]*)\s*\(")
+_JAVA_HEAD = re.compile(r"\s*(?:@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s*)*+((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*+(?:<[^{;()]*>\s*)?(?!(?:return|new|throw|else|assert|case|yield)\b)[\w$][\w$.]*(?:\s*<[^;{}()]*>)?(?:\s*\.\s*[\w$]+)*(?:\s*\[\s*\])*)")
+
+
+def _heads(bare: str, language: str) -> Iterator[tuple[str, int, int, int]]:
+    """(name, begin, position of the parameters' bracket, indent) of what may be a function."""
+    if language != "java":
+        for m in _FUNC[language].finditer(bare):
+            name = m.group(m.lastindex)
+            if name not in _CONTROL:
+                yield name, m.start() + len(m.group()) - len(m.group().lstrip()), m.end() - 1, len(m.group(1).expandtabs()) if language == "python" else 0
+        return
+    for m in _JAVA_NAME.finditer(bare):
+        if m.group(1) in _CONTROL:
+            continue
+        low = max(bare.rfind(c, 0, m.start()) for c in ";{}") + 1
+        # an annotation above may hold braces, a damaged text no end before the line
+        if h := _JAVA_HEAD.fullmatch(bare, low, m.start()) or _JAVA_HEAD.fullmatch(bare, bare.rfind("\n", 0, m.start()) + 1, m.start()):
+            yield m.group(1), h.start(1), m.end() - 1, 0
+
+
+_BRACKET = re.compile(r"[(){}]")
+_BODY = re.compile(r"[{(;]")
+_ARROW = re.compile(r"\s*(?::(?:[^={};]|\{[^{}]*\})*)?=>\s*")
+
+
+def _pairs(bare: str) -> dict[int, int]:
+    """Per opening round or curly bracket the position after the one that closes it; unclosed ones are missing."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {"(": [], "{": []}
+    for m in _BRACKET.finditer(bare):
+        c = m[0]
+        if c in open_:
+            open_[c].append(m.start())
+        elif stack := open_["(" if c == ")" else "{"]:
+            out[stack.pop()] = m.end()
+    return out
 
 
-def _match(text: str, at: int, pair: str) -> int:
-    """Position after the bracket that closes the one at `at`, or -1."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == pair[0]:
-            depth += 1
-        elif text[i] == pair[1]:
-            depth -= 1
-            if not depth:
-                return i + 1
-    return -1
-
-
-def _body(bare: str, close: int, language: str) -> int:
+def _body(bare: str, pairs: dict[int, int], close: int, language: str) -> int:
     """Position of the brace that opens the body behind the parameters that end at `close`, or -1. Braces of the result type
     are passed over."""
     at, typed = close, language != "typescript"
-    for m in iter(lambda: re.compile(r"[{(;]").search(bare, at), None):
+    while m := _BODY.search(bare, at):
         if m[0] == ";":
             return -1
         before = bare[close : m.start()].rstrip()
         if m[0] == "{" and not (re.search(r"\b(?:interface|struct)$", before) if typed else re.search(r"(?:[:<|&,\[]|=>)$", before)):
             return m.start()
-        at = _match(bare, m.start(), "{}" if m[0] == "{" else "()")
+        at = pairs.get(m.start(), -1)
         if at < 0:
             return -1
     return -1
 
 
-def _given(text: str, bare: str, language: str) -> Iterator[tuple[str, int, int, str]]:
+def _given(text: str, bare: str, pairs: dict[int, int], language: str) -> Iterator[tuple[str, int, int, str]]:
     """(name, begin, end, signature) of the functions that _GIVEN finds."""
     for m in _GIVEN.finditer(bare):
         head = m.start() + len(m.group()) - len(m.group().lstrip())
-        close = m.end() if m.group(3) else _match(bare, m.end() - 1, "()")
+        close = m.end() if m.group(3) else pairs.get(m.end() - 1, -1)
         if close < 0:
             continue
         if m.group(2):
-            brace = _body(bare, close, language)
+            brace = _body(bare, pairs, close, language)
         else:
-            arrow = re.compile(r"\s*(?::(?:[^={};]|\{[^{}]*\})*)?=>\s*").match(bare, close)
+            arrow = _ARROW.match(bare, close)
             if not arrow:
                 continue
             brace = arrow.end()
         if brace < 0:
             continue
         if bare.startswith("{", brace):
-            end = _match(bare, brace, "{}")
+            end = pairs.get(brace, -1)
         else:  # an expression: up to the first semicolon or line end outside brackets
             depth, end = 0, brace
             while end < len(bare) and not (depth == 0 and bare[end] in ";\n,)"):
@@ -170,67 +205,65 @@ def _decorated(text: str, bare: str, head: int) -> int:
         head = low + m.start()
 
 
+_NOT_NEWLINE = re.compile(r"[^\n]")
+_DEDENT = re.compile(r"(?m)^([ \t]*)\S")
+
+
 def functions(text: str, language: str) -> Iterator[tuple[str, int, int, str, str]]:
     """(name, first line, last line, signature, documentation as it stands) of each function of a source text."""
     if language not in LEXIS or not text:
         return
     parts = lex(text, language)
     # same length, but comments and strings blanked, so that brackets and keywords in them count for nothing
-    bare = "".join(text[a:b] if k == "code" else re.sub(r"[^\n]", " ", text[a:b]) for k, a, b in parts)
+    bare = "".join(text[a:b] if k == "code" else _NOT_NEWLINE.sub(" ", text[a:b]) for k, a, b in parts)
     comments = [(a, b) for k, a, b in parts if k in ("line", "block")]
     strings = [(a, b) for k, a, b in parts if k == "string"]
-    import bisect
-
     ends = [b for _, b in comments]
     starts = [a for a, _ in strings]
-    for m in _FUNC[language].finditer(bare):
-        name = m.group(m.lastindex)
-        if name in _CONTROL:
-            continue
-        head = m.start() + len(m.group()) - len(m.group().lstrip())
-        close = _match(bare, m.end() - 1, "()")
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect.bisect_left(breaks, at) + 1
+    pairs = _pairs(bare)
+    for name, head, opening, indent in _heads(bare, language):
+        close = pairs.get(opening, -1)
         if close < 0:
             continue
+        sig = text[opening:close]
         if language == "python":
-            indent = len(m.group(1).expandtabs())
             colon = bare.find(":", close)
             if colon < 0:
                 continue
-            end, body = len(text), None
-            for ln in re.finditer(r"(?m)^([ \t]*)\S", bare[colon:]):
-                if ln.start() and len(ln.group(1).expandtabs()) <= indent:
-                    end = colon + ln.start()
+            end = len(text)
+            for ln in _DEDENT.finditer(bare, bare.find("\n", colon) + 1 or len(bare)):
+                if len(ln.group(1).expandtabs()) <= indent:
+                    end = ln.start()
                     break
-            end = m.start() + len(text[m.start() : end].rstrip())
-            sig = text[bare.index("(", m.start()) : close]
+            end = head + len(text[head:end].rstrip())
             i = bisect.bisect_left(starts, colon)
             doc = ""
             if i < len(strings) and not bare[colon + 1 : strings[i][0]].strip(" \t\r\nrRuU") and strings[i][0] < end:
                 doc = text[slice(*strings[i])]
-            yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end) + 1, sig, doc or _before(text, comments, ends, _decorated(text, bare, head))
+            yield name, line(head), line(end), sig, doc or _before(text, comments, ends, _decorated(text, bare, head))
             continue
         if language == "sql":
-            end = next((b for a, b in strings if a > close and text[a:b].startswith("$$")), None) or bare.find(";", close)
+            i = bisect.bisect_right(starts, close)
+            end = next((b for a, b in strings[i:] if text.startswith("$$", a)), None) or bare.find(";", close)
             end = len(text) if end < 0 else end
         else:
-            brace = _body(bare, close, language)
+            brace = _body(bare, pairs, close, language)
             if brace < 0 or (language in ("javascript", "typescript") and bare[close:brace].strip()[:1] not in ("", ":")):
                 continue
-            end = _match(bare, brace, "{}")
+            end = pairs.get(brace, -1)
             if end < 0:
                 continue
-        sig = text[m.end() - 1 : close]
-        yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end - 1) + 1, sig, _before(text, comments, ends, _decorated(text, bare, head))
+        yield name, line(head), line(end - 1), sig, _before(text, comments, ends, _decorated(text, bare, head))
 
     if language in ("javascript", "typescript"):
-        for name, head, end, sig in _given(text, bare, language):
-            yield name, text.count("\n", 0, head) + 1, text.count("\n", 0, end - 1) + 1, sig, _before(text, comments, ends, _decorated(text, bare, head))
+        for name, head, end, sig in _given(text, bare, pairs, language):
+            yield name, line(head), line(end - 1), sig, _before(text, comments, ends, _decorated(text, bare, head))
 
 
 def _before(text: str, comments: list, ends: list, head: int) -> str:
     """The comments that end directly before `head`, with no code and no blank line between."""
-    import bisect
-
     i = bisect.bisect_right(ends, head) - 1
     first = head
     while i >= 0:
@@ -296,7 +329,7 @@ _NOTICE = re.compile(
     )"""
 )
 _LEGAL = re.compile(
-    r"""(?ix)^\W*(?:spdx-|copyright\b|\(c\)\s|©|©|all\s+rights\s+reserved|licen[sc]ed?\b|permission\s+is\s+hereby|redistribution\s+and\s+use|this\s+(?:file|program|software)\s+is\s+(?:free|licensed|part\s+of|distributed|provided)|distributed\s+under|the\s+software\s+is\s+provided
+    r"""(?ix)^\W*(?:spdx-|copyright\b(?=\W*(?:$|\(c\)|©|\d{4}|by\b|notices?\b|holders?\b|owners?\b|the\b.*\b(?:authors|contributors|project|team)\b|.*\b(?:inc|ltd|llc|gmbh|corp|ag|sa|co|authors|contributors|reserved)\b))|\(c\)\s|©|©|all\s+rights\s+reserved|licen[sc]ed?\b|permission\s+is\s+hereby|redistribution\s+and\s+use|this\s+(?:file|program|software)\s+is\s+(?:free|licensed|part\s+of|distributed|provided)|distributed\s+under|the\s+software\s+is\s+provided
     |(?:[@\\])?(?:authors?|maintainers?|owners?|created|written|contact|since|version|date|copyright|license|modified|last\s+(?:modified|changed|updated|edited)|reviewed|history|revision)\s*(?::|\b(?:by|on|at)\b|\s+v?\d)
     |@(?:authors?|since|version|date|copyright|license|created)\b
     |(?:autor|urheber|auteur|lizenz|licence|licencia)\s*[:\s]|erstellt\s+(?:von|am)|créé\s+(?:par|le)|creado\s+(?:por|el))"""
@@ -409,56 +442,95 @@ def latest_symbols(nodes: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("id").alias("node_id")).agg(pick.alias("x")).select("node_id", "x.v.*").filter(F.col("kind").isin("function", "method"))
 
 
+def languages(files: DataFrame) -> DataFrame:
+    """(path, language): the latest files row of a path (indexed_at; ties: greatest language)."""
+    return files.filter("path is not null").groupBy("path").agg(F.max(F.struct("indexed_at", F.coalesce("language", F.lit("")).alias("language"))).alias("x")).select("path", "x.language")
+
+
+def _cutter(code: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("path", "name", "start_line", "end_line", "signature", "comment", *(("code",) if code else ()))}
+            for path, language, text in zip(*(c.to_pylist() for c in b.columns)):
+                lines = text.split("\n") if code else ()
+                for name, first, last, sig, doc in functions(text, language):
+                    for k, v in zip(out, (path, name, first, last, sig, doc, *(("\n".join(lines[first - 1 : last]),) if code else ()))):
+                        out[k].append(v)
+            if out["path"]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k.endswith("line") else pa.string()) for k, v in out.items()], names=list(out))
+
+    return run
+
+
+def cut(files: DataFrame, texts: DataFrame, code: bool = False) -> DataFrame:
+    """path, name, start_line, end_line, signature, comment (, code): every function of the source texts, with the comment
+    directly before it as it stands ('' without one). Paths without text or with a language that has no lexer give no row."""
+    src = texts.filter("content is not null").select("path", "content").join(languages(files), "path").select("path", "language", "content")
+    return src.mapInArrow(_cutter(code), "path string, name string, start_line int, end_line int, signature string, comment string" + (", code string" if code else ""))
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[tuple, bool] = {}
+    """Adds documentation and its origin to the rows whose documentation says something."""
     for b in batches:
-        keep, text = [], []
-        docs, names, sigs = (b.column(b.schema.names.index(c)).to_pylist() for c in ("docstring", "name", "signature"))
-        for i, key in enumerate(zip(docs, names, sigs)):
-            if tells_something(*key):
+        keep, text, origin = [], [], []
+        docs, comments, names, sigs = (b.column(b.schema.names.index(c)).to_pylist() for c in ("docstring", "comment", "name", "signature"))
+        for i, (doc, comment, name, sig) in enumerate(zip(docs, comments, names, sigs)):
+            own = clean(doc)
+            # the comment of the text holds where it is the row's docstring; a row of another version keeps its own
+            cut_ = clean(comment) if comment else None
+            if tells_something(comment if cut_ == own else doc, name, sig):
                 keep.append(i)
-                text.append("\n".join(clean(key[0])))
+                text.append("\n".join(own))
+                origin.append("text" if cut_ == own else "row")
         if keep:
             sub = b.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(text, pa.string())], names=[*b.schema.names, "documentation"])
+            yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(text, pa.string()), pa.array(origin, pa.string())], names=[*b.schema.names, "documentation", "origin"])
 
 
-def pairs(nodes: DataFrame) -> DataFrame:
-    """node_id, kind, name, signature, documentation, file_path, language, start_line, end_line: one row per function or
-    method whose signature is not blank and whose docstring says something. Null, empty, very long docstrings are fine."""
+def pairs(nodes: DataFrame, files: DataFrame, texts: DataFrame, code: bool = True) -> DataFrame:
+    """node_id, kind, name, signature, documentation, origin, file_path, language, start_line, end_line (, code): one row per
+    function or method whose signature is not blank and whose documentation says something.
+
+    Functions are cut from the texts and meet the symbols by path, first line and name; where none does (no text, or a
+    function the cutter does not know), or where the row's docstring is another than the comment in the text, the row's
+    docstring is judged (origin 'row', else 'text'). A symbol whose docstring is null or blank is no pair, whatever stands
+    before it in the text (such as the file's own header). Null, empty, very long docstrings are fine."""
     src = latest_symbols(nodes).filter(F.col("signature").isNotNull() & F.col("signature").rlike("\\S") & F.col("docstring").isNotNull() & F.col("docstring").rlike("\\S"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields) + ", documentation string"
-    return src.mapInArrow(_judged, schema).select("node_id", "kind", "name", "signature", "documentation", "file_path", "language", "start_line", "end_line")
+    at = ("file_path", "start_line", "name")
+    pieces = cut(files, texts, code).select(F.col("path").alias("file_path"), "start_line", "name", "comment", *(["code"] if code else [])).dropDuplicates(list(at))
+    src = src.join(pieces, list(at), "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields) + ", documentation string, origin string"
+    return src.mapInArrow(_judged, schema).select("node_id", "kind", "name", "signature", "documentation", "origin", "file_path", "language", "start_line", "end_line", *(["code"] if code else []))
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    return tuple(load(spark, sf_dir, t) for t in ("nodes", "files", "source_texts"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found: ids of the pairs."""
-    return pairs(load(spark, sf_dir, "nodes")).select("node_id")
+    return pairs(*_tables(spark, sf_dir), code=False).select("node_id")
+
+
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_pairs: with the source text of each function that was cut."""
+    return pairs(*_tables(spark, sf_dir))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("path", "name", "start_line", "end_line", "signature", "documentation", "code")}
-        for path, language, text in zip(*(c.to_pylist() for c in b.columns)):
-            lines = None
-            for name, first, last, sig, doc in functions(text, language):
-                if not tells_something(doc, name, sig):
-                    continue
-                lines = lines or text.split("\n")
-                for k, v in zip(out, (path, name, first, last, sig, "\n".join(clean(doc)), "\n".join(lines[first - 1 : last]))):
-                    out[k].append(v)
-        if out["path"]:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k.endswith("line") else pa.string()) for k, v in out.items()], names=list(out))
+        names, sigs, comments = (b.column(b.schema.names.index(c)).to_pylist() for c in ("name", "signature", "comment"))
+        keep = [i for i, x in enumerate(zip(comments, names, sigs)) if tells_something(*x)]
+        if keep:
+            sub = b.take(pa.array(keep))
+            doc = pa.array(["\n".join(clean(comments[i])) for i in keep], pa.string())
+            yield pa.RecordBatch.from_arrays([doc if n == "comment" else c for n, c in zip(sub.schema.names, sub.columns)], names=["documentation" if n == "comment" else n for n in sub.schema.names])
 
 
 def source_pairs(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """path, name, start_line, end_line, signature, documentation, code: functions cut from source texts by the lexer.
-
-    The latest files row of a path (indexed_at; ties: greatest language) gives its language. Paths without text or with a
-    language that has no lexer give no row."""
-    lang = files.filter("path is not null").groupBy("path").agg(F.max(F.struct("indexed_at", F.coalesce("language", F.lit("")).alias("language"))).alias("x")).select("path", "x.language")
-    src = texts.filter("content is not null").select("path", "content").join(lang, "path").select("path", "language", "content")
-    return src.mapInArrow(_cut, "path string, name string, start_line int, end_line int, signature string, documentation string, code string")
+    """path, name, start_line, end_line, signature, documentation, code: pairs of the source texts alone, for data without a
+    nodes table."""
+    return cut(files, texts, True).mapInArrow(_telling, "path string, name string, start_line int, end_line int, signature string, documentation string, code string")
 
 
 def from_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
