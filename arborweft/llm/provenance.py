@@ -1,7 +1,8 @@
 """Generated, minified, vendored and data files among source files (problem 6).
 
 A multi-pattern automaton (Aho-Corasick) reads the header comments for notices; path rules know vendored folders, lock
-files and suffixes of tool output; text statistics find minified code, data and numbered boilerplate.
+files and suffixes of tool output; text statistics find minified code and data. A folder that is merely called "generated" or
+"gen" may hold hand-written code: it needs a second sign, a machine's repetition in the text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from arborweft.sources.tables import load
 
-#: Bytes from which a file counts as tool output or data whatever its text says.
+#: Bytes from which a file counts as tool output or data whatever its text says; `reasons` takes another bound.
 HUGE = 1_000_000
 
 # Phrases of header comments, lower case, single blanks. sure: enough alone; origin and warning: enough
@@ -41,7 +42,11 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-_FOLDERS = frozenset("node_modules bower_components third_party third-party thirdparty vendor vendors vendored extern external externals godeps _workspace site-packages jspm_packages pods carthage __generated__ generated gen autogen auto_generated generated-sources generated_src".split())
+# Folders of third-party projects (each project is a folder in there); folders whose name alone says that a tool
+# writes them; folders whose name may only mean the subject.
+_THIRD = frozenset("node_modules bower_components third_party third-party thirdparty vendor vendors vendored extern external externals godeps _workspace site-packages jspm_packages pods carthage".split())
+_WRITTEN = frozenset("__generated__ autogen auto_generated generated-sources generated_src".split())
+_MAYBE = frozenset(("generated", "gen"))
 _LIBRARY = re.compile(r"/(?:deps|contrib|submodules)/[a-z][\w.-]*/")
 _VERSIONED = re.compile(r"/@?[A-Za-z][\w.]*[-@]v?\d+\.\d+(?:\.\d+)*(?:[-.]\w+)?/")
 _NAME = re.compile(
@@ -52,7 +57,8 @@ _NAME = re.compile(
 
 def path_reason(path: str) -> str | None:
     folders = path.split("/")
-    if any(f.lower() in _FOLDERS for f in folders[:-1]):
+    # a third-party folder counts where a project's folder lies in it
+    if any(f.lower() in _THIRD for f in folders[:-2]) or any(f.lower() in _WRITTEN for f in folders[:-1]):
         return "folder"
     if _LIBRARY.search(path) or _VERSIONED.search(path):
         return "library folder"
@@ -105,8 +111,6 @@ def header_reason(text: str) -> str | None:
 
 
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\S")
-_DECLARED = re.compile(r"(?m)(?:\b(?:function|def|func|class|interface|view|table|index|procedure|type|struct)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*?)(\d+)(?:_\d+)?\b|\b(?:public|private|protected)\s+(?:static\s+)?\w+\s+([A-Za-z_]\w*?)(\d+)\s*\()", re.I)
-_ALL_DECLARED = re.compile(r"(?m)\b(?:function|def|func|class|interface|view|table|procedure|type|struct)\s+(?:\([^)\n]*\)\s*)?[A-Za-z_]\w*|\b(?:public|private|protected)\s+(?:static\s+)?\w+\s+\w+\s*\(", re.I)
 _STRING = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`')
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_-]{60,}")
 _NUMBERS = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)\s*[,;]\s*){6,}")
@@ -115,7 +119,7 @@ _PAIR = re.compile(r"(?m)^\s*[\"'][^\"'\n]*[\"']\s*:\s*(?:[\"'][^\"'\n]*[\"']|[-
 
 
 def text_reason(text: str, language: str | None) -> str | None:
-    """What the text itself shows: minified, data, markup, numbered boilerplate."""
+    """What the text itself shows: minified, data, markup."""
     body = re.sub(r"^\s*(?:(?://[^\n]*\n|/\*.*?\*/|#(?!include)[^\n]*\n|--[^\n]*\n)\s*)+", "", text, count=1, flags=re.S).strip()
     if not body:
         return None
@@ -154,26 +158,43 @@ def text_reason(text: str, language: str | None) -> str | None:
         long_share = sum(len(x) for x in lines if len(x) > 300) / size
         if long_share > 0.5 and blanks < 0.14:
             return "minified"
-    numbered = [int(m.group(2) or m.group(4)) for m in _DECLARED.finditer(body)]
-    total = len(_ALL_DECLARED.findall(body))
-    if len(numbered) >= 4 and len(numbered) >= 0.8 * total:
-        steps = sum(b - a in (0, 1) for a, b in zip(numbered, numbered[1:]))
-        if steps >= 0.8 * (len(numbered) - 1) and len(set(numbered)) >= 4:
-            return "numbered boilerplate"
     return None
 
 
-def reason(path: str, language: str | None, size: int | None, text: str | None) -> str | None:
-    if size is not None and size >= HUGE:
+_SHAPE = re.compile(r"[A-Za-z_]+|\d+")
+
+
+def repetition(text: str) -> bool:
+    """Whether nearly all lines are a few shapes again and again, with numbers that count up: what a tool writes in a loop."""
+    lines = [x.strip() for x in text.split("\n") if len(x.strip()) > 3]
+    if len(lines) < 4:
+        return False
+    shapes: dict[str, list[int]] = {}
+    for x in lines:
+        numbers = re.findall(r"\d+", x)
+        shapes.setdefault(_SHAPE.sub(lambda m: "0" if m[0][0].isdigit() else "a", x), []).append(int(numbers[0]) if numbers else -1)
+    often = [v for v in shapes.values() if len(v) >= 4]
+    counting = sum(len(v) for v in often if sum(b - a in (0, 1) for a, b in zip(v, v[1:])) >= 0.8 * (len(v) - 1) and v[0] != v[-1])
+    return sum(map(len, often)) >= 0.6 * len(lines) and counting >= 0.3 * len(lines)
+
+
+def reason(path: str, language: str | None, size: int | None, text: str | None, huge: int = HUGE) -> str | None:
+    if size is not None and size >= huge:
         return "size"
-    return path_reason(path) or (text and (header_reason(text) or text_reason(text, language))) or None
+    why = path_reason(path) or (text and (header_reason(text) or text_reason(text, language))) or None
+    if why is None and text and any(f.lower() in _MAYBE for f in path.split("/")[:-1]) and repetition(text):
+        return "generated folder"
+    return why
+
 
+def _reasons(huge: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            path, lang, size, text = (c.to_pylist() for c in b.columns)
+            why = [reason(*x, huge) for x in zip(path, lang, size, text)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string())], names=["path", "language", "reason"])
 
-def _reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        path, lang, size, text = (c.to_pylist() for c in b.columns)
-        why = [reason(*x) for x in zip(path, lang, size, text)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string())], names=["path", "language", "reason"])
+    return run
 
 
 def latest_files(files: DataFrame) -> DataFrame:
@@ -182,10 +203,11 @@ def latest_files(files: DataFrame) -> DataFrame:
     return files.filter("path is not null").groupBy("path").agg(pick.alias("x")).select("path", "x.v.*")
 
 
-def reasons(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """path, language, reason (null: hand-written) of each path of `files`. A null text or size is no sign by itself."""
+def reasons(files: DataFrame, texts: DataFrame, huge: int = HUGE) -> DataFrame:
+    """path, language, reason (null: hand-written) of each path of `files`. A null text or size is no sign by itself; a size of
+    `huge` bytes or more is one."""
     joined = latest_files(files).join(texts.select("path", "content"), "path", "left").select("path", "language", "size", "content")
-    return joined.mapInArrow(_reasons, "path string, language string, reason string").dropDuplicates(["path"])
+    return joined.mapInArrow(_reasons(huge), "path string, language string, reason string").dropDuplicates(["path"])
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
