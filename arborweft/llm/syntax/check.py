@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 from collections.abc import Iterator
@@ -42,16 +43,29 @@ def _parser(language: str):
     return lexer, peg.compile_grammar(grammar, start)
 
 
+def _language_of(values: list[str], i: int) -> set[str]:
+    """The languages that the statement around token i names."""
+    first = next((j for j in range(i - 1, -1, -1) if values[j] == ";"), -1) + 1
+    last = next((j for j in range(i + 1, len(values)) if values[j] == ";"), len(values))
+    return {values[j + 1].lower().strip("'\"") for j in range(first, last - 1) if values[j].upper() == "LANGUAGE"}
+
+
 def _parse(text: str, language: str) -> int | None:
     """None when the whole text is consumed, else the character position of the furthest failure."""
     lexer, parse = _parser(language)
     t = lexer(text)
-    ok, far = parse(t.K, t.V, t.W, t.L)
+    limit = sys.getrecursionlimit()
+    # rules call each other, some dozens deep for each open bracket; Python frames live on the heap
+    sys.setrecursionlimit(max(limit, 100_000 + 100 * len(t.K)))
+    try:
+        ok, far = parse(t.K, t.V, t.W, t.L)
+    finally:
+        sys.setrecursionlimit(limit)
     if ok and language == "sql":
         for i, k in enumerate(t.K):
             if k == "DOLLAR":
                 body = re.match(r"(\$\w*\$)(.*)\1$", t.V[i], re.S)
-                near = {w.lower() for w in (t.V[i + 2 : i + 3] if t.V[i + 1 : i + 2] == ["LANGUAGE"] else [])} | {t.V[j + 1].lower() for j in range(max(0, i - 40), i) if t.V[j] == "LANGUAGE"}
+                near = _language_of(t.V, i)
                 if body and (near & {"plpgsql", "sql"} or (not near and "DO" in t.V[max(0, i - 1) : i])) and (bad := _parse(body.group(2), "sql routine")) is not None:
                     return t.P[i] + len(body.group(1)) + bad
     return None if ok else t.P[far]
@@ -60,22 +74,14 @@ def _parse(text: str, language: str) -> int | None:
 def verdict(text: str, language: str) -> tuple[str, int, int] | None:
     """(cause, line, column) of the furthest failure, or None for a valid text. Cause: conflict, template, truncated,
     another language's name, or other."""
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 200_000))  # rules call each other; Python frames live on the heap
-    try:
-        at = _parse(text, language)
-    except RecursionError:
-        return "too deep", 1, 1
-    finally:
-        sys.setrecursionlimit(limit)
+    at = _parse(text, language)
     if at is None:
         return None
     line = text.count("\n", 0, at) + 1
     col = at - text.rfind("\n", 0, at)
-    near = text[max(0, at - 4000) : at + 4000]
     if _TEMPLATE.search(text[max(0, at - 80) : at + 80]):
         cause = "template"
-    elif _CONFLICT.search(near):
+    elif _CONFLICT.search(text):
         cause = "conflict"
     else:
         cause = next((f"looks like {k}" for k, p in _OTHER if k != language and not (k == "javascript" and language == "typescript") and p.search(text) and not any(q.search(text) for j, q in _OTHER if j == language)), None)
@@ -88,7 +94,7 @@ def _unclosed(text: str, at: int) -> bool:
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[tuple[str, str], tuple | None] = {}
+    memo: dict[tuple[str, bytes], tuple | None] = {}
     for b in batches:
         out = []
         for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -96,9 +102,9 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None or lang not in LANGUAGES:
                 out.append(None)
                 continue
-            key = (lang, text)
+            key = (lang, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             if key not in memo:
-                if len(memo) > 2000:
+                if len(memo) > 20_000:
                     memo.clear()
                 memo[key] = verdict(text, lang)
             out.append(memo[key])
