@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborweft.sources.tables import load, spread
@@ -38,6 +38,7 @@ _SET = re.compile(r"\s*[\w.\[\]()-]+\s*(?:=|->|=>|:=|→)\s*\S")
 _KEYED = re.compile(r"\s*[\w.\[\]-]+\s*(?:=|->|=>|:=|→|:\s)|\s*[\w.]+\(\)?\s*->")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèêâîôûœæ]", re.I)
 _ODD = frozenset("¤¢£¥¦§©®±¶¹²³¼½¾¿€™¬�")  # signs that wrongly decoded text is full of
+_FRONT = re.compile(r"(?!---\s*$)(?:\s*$|\s*#|\s+\S|- |[\w.\"'-][\w.\"' -]*:|[}\]])")  # lines of front matter
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 
 STATES = ("prose", "list", "table", "junk")
@@ -114,8 +115,8 @@ def label_lines(text: str) -> list[tuple[str, int]]:
     lines = text.split("\n")
     start = 0
     if lines and lines[0].strip() == "---":
-        end = next((i for i, x in enumerate(lines[1:40], 1) if x.strip() == "---"), None)
-        start = end + 1 if end else 0
+        end = next((i for i, x in enumerate(lines[1:], 1) if not _FRONT.match(x)), len(lines))
+        start = end + 1 if end < len(lines) and lines[end].strip() == "---" else 0
     blocks: list[list[str]] = [[]]
     fence = False
     for raw in lines[start:]:
@@ -208,30 +209,37 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_shares(load(spark, sf_dir, "documents")).filter("prose_share < 0.5").select("doc_id").distinct()
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != "")
+_TOKEN = re.compile(r"[^ \t\n\r]+")
+_KNOWN = re.compile(r"[^\W_]+|[ \t\n\r]+")
+_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_POINT = re.compile(r"[.!?:;…][\"')\]”’»]*[ \t]*\Z")
+_COUNTS = ("n_words", "n_word_chars", "n_chars", "n_symbols", "n_lines", "n_punct", "n_common")
+
+
+def count_text(t: str) -> tuple[int, ...]:
+    """The numbers behind the statistics of one text, in the order of _COUNTS."""
+    ws = _TOKEN.findall(t)
+    common = sum((w.lower() if w.isalpha() else _EDGE.sub("", w.lower())) in _COMMON for w in ws)
+    lines = [x for x in re.split("[\n\r]+", t) if x.strip(" ")]
+    return len(ws), sum(map(len, ws)), len(t), len(_KNOWN.sub("", t)), len(lines), sum(_POINT.search(x) is not None for x in lines), common
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [count_text(t or "") for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(_COUNTS)))], names=["doc_id", *_COUNTS])
 
 
 def stats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, mean_word_len, symbol_ratio, punct_line_share, common_share: column expressions only, no shuffle.
+    """doc_id, n_words, mean_word_len, symbol_ratio, punct_line_share, common_share; large scans are not shuffled.
 
     Null text counts as ''. Ratios are 0 where nothing is counted. Words are runs without white space; common words are
     compared in lower case without the marks around them; symbols are characters that are no letter, digit or white space.
+    One Arrow function counts: a set of common words costs a look-up a word there, a scan of the list in an expression.
     """
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words(F.col("t"))).withColumn("n", F.size("w").cast("long"))
-    lines = F.filter(F.split("t", "[\\n\\r]+"), lambda x: F.trim(x) != "")
-    t = t.withColumn("l", lines)
-    bare = F.transform("w", lambda w: F.regexp_replace(F.lower(w), "^[^\\p{L}]+|[^\\p{L}]+$", ""))
-    common = F.array(*[F.lit(c) for c in COMMON])
-    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
-    return t.select(
-        "doc_id",
-        F.col("n").alias("n_words"),
-        ratio(F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + F.length(w)), F.col("n")).alias("mean_word_len"),
-        ratio(F.length(F.regexp_replace("t", "[\\p{L}\\p{N} \\t\\n\\r]", "")), F.length("t")).alias("symbol_ratio"),
-        ratio(F.size(F.filter("l", lambda x: x.rlike("[.!?:;…][\"')\\]”’»]*[ \\t]*$"))), F.size("l")).alias("punct_line_share"),
-        ratio(F.size(F.filter(bare, lambda w: F.array_contains(common, w))), F.col("n")).alias("common_share"),
-    )
+    t = spread(docs.select("doc_id", "text")).mapInArrow(_count, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(F.lit(0.0))
+    return t.select("doc_id", "n_words", ratio("n_word_chars", "n_words").alias("mean_word_len"), ratio("n_symbols", "n_chars").alias("symbol_ratio"), ratio("n_punct", "n_lines").alias("punct_line_share"), ratio("n_common", "n_words").alias("common_share"))
 
 
 def stats_sql() -> str:
