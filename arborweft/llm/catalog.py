@@ -8,11 +8,12 @@ from arborweft.sources.tables import load
 
 QUERIES = {
     "p1_found": docpairs.found,
-    "p1_pairs": lambda s, d: docpairs.pairs(load(s, d, "nodes")),
+    "p1_pairs": docpairs.all_pairs,
     "p1_from_sources": docpairs.from_sources,
     "p4_found": conversations.found,
     "p4_turns": lambda s, d: conversations.turns(load(s, d, "transcript_entries")),
     "p4_clock_offsets": lambda s, d: conversations.clock_offsets(load(s, d, "transcript_entries")),
+    "p4_corrections": conversations.correction_report,
     "p5_found": check.found,
     "p5_verdicts": lambda s, d: check.verdicts(load(s, d, "files"), load(s, d, "source_texts")),
     "p5_rates": check.rates,
@@ -29,5 +30,7 @@ QUERIES = {
 
 ORACLE = {
     "p4_found": conversations.FOUND_SQL,
+    "p4_turns": conversations.TURNS_SQL,
+    "p4_clock_offsets": conversations.OFFSETS_SQL,
     "p10_stats": quality.stats_sql(),
 }

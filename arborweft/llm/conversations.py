@@ -84,11 +84,15 @@ def judge(entries: DataFrame) -> DataFrame:
     and role readable; the first message is the user's; each message of the user is directly followed by the assistant's
     (the last one too). Equal instants keep the order of arrival. This is the constraint system of replies with all
     clocks taken as they are: a session is whole exactly when it is feasible."""
-    msgs = _ordered(messages(entries).select("session_id", "at", "line_no", "entry_id", "role"))
-    states = msgs.select("part", "session_id", "at", "role").mapInArrow(_states, "part int, session_id string, n long, first string, last string, bad boolean")
     every = entries.filter("session_id is not null").select("session_id").distinct()
+    return _whole_of(_ordered(messages(entries).select("session_id", "at", "line_no", "entry_id", "role")), every)
+
+
+def _whole_of(msgs: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """The judgement over ordered messages; sessions of `every` without a message are broken."""
+    states = msgs.select("part", "session_id", "at", "role").mapInArrow(_states, "part int, session_id string, n long, first string, last string, bad boolean")
     none = [F.lit(-1).alias("part"), "session_id", F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("string").alias(c) for c in ("first", "last")), F.lit(False).alias("bad")]
-    by = states.union(every.select(*none)).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part", "n", "first", "last", "bad"))).alias("p"))
+    by = (states if every is None else states.union(every.select(*none))).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part", "n", "first", "last", "bad"))).alias("p"))
     # at most one state per session and partition: p is short even for a session that fills many partitions
     p = by.withColumn("p", F.filter("p", lambda x: x["n"] > 0))
     seam = F.exists(F.sequence(F.lit(2), F.size("p")), lambda i: (F.element_at("p", i - 1)["last"] == "user") & ~F.element_at("p", i)["first"].eqNullSafe(F.lit("assistant")))
@@ -204,12 +208,49 @@ def clock_offsets(entries: DataFrame) -> DataFrame:
     return by.join(x, "session_id", "left").select("session_id", "n_pairs", s("lo").alias("lowest_s"), s("hi").alias("highest_s"), offset.alias("offset_s"), F.coalesce(F.col("lo") <= F.col("hi"), F.lit(True)).alias("feasible"))
 
 
-FOUND_SQL = r"""WITH last AS (SELECT * FROM transcript_entries QUALIFY row_number() OVER (PARTITION BY coalesce(entry_id, 'null' || rowid_) ORDER BY loaded_at DESC NULLS LAST, line_no DESC NULLS LAST, coalesce(ts, '') DESC, coalesce(text, '') DESC, coalesce(blocks, '') DESC) = 1),
-m AS (SELECT session_id, entry_id, line_no,
+def corrected(entries: DataFrame) -> DataFrame:
+    """session_id, offset_s, feasible, whole, whole_corrected: each session with reply constraints, judged as it stands and with
+    the assistant's clock put right by the least-squares offset of clock_offsets. Sessions with a row whose instant or role
+    can't be read stay broken either way."""
+    off = Scratch(entries.sparkSession, "offsets").write(clock_offsets(entries).select("session_id", "offset_s", "feasible"))
+    msgs = messages(entries).select("session_id", "at", "line_no", "entry_id", "role")
+    moved = msgs.join(off.filter("offset_s <> 0").select("session_id", "offset_s"), "session_id")
+    shift = F.when(F.col("role") == "assistant", F.timestamp_micros(F.unix_micros("at") + F.round(F.col("offset_s") * 1e6).cast("long"))).otherwise(F.col("at"))
+    put = _whole_of(_ordered(moved.withColumn("at", shift).drop("offset_s"))).select("session_id", F.col("whole").alias("after"))
+    was = _whole_of(_ordered(msgs.join(off.select("session_id"), "session_id", "left_semi"))).select("session_id", "whole")
+    return off.join(was, "session_id").join(put, "session_id", "left").select("session_id", "offset_s", "feasible", "whole", F.coalesce("after", "whole").alias("whole_corrected"))
+
+
+def correction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_corrections: how many sessions are whole as they stand and with corrected clocks."""
+    c = corrected(load(spark, sf_dir, "transcript_entries"))
+    return c.groupBy("feasible", "whole", "whole_corrected").agg(F.count("*").alias("n_sessions"))
+
+
+_MESSAGES_SQL = r"""WITH last AS (SELECT * FROM transcript_entries QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at DESC NULLS LAST, line_no DESC NULLS LAST, coalesce(ts, '') DESC, coalesce(text, '') DESC, coalesce(blocks, '') DESC) = 1),
+m AS (SELECT session_id, entry_id, line_no, text,
  CASE WHEN regexp_full_match(trim(ts), '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})') THEN TRY_CAST(upper(trim(ts)) AS TIMESTAMPTZ) END AS at_,
  CASE CASE WHEN role IS NULL OR trim(role) = '' THEN lower(entry_type) ELSE lower(trim(role)) END WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'agent' THEN 'assistant' END AS who
  FROM last WHERE session_id IS NOT NULL AND entry_type IN ('user', 'assistant') AND sidechain = false
- AND (coalesce(regexp_matches(text, '\S'), false) OR coalesce(len(list_filter(TRY(from_json(blocks, '[{"type":"VARCHAR","text":"VARCHAR"}]')), lambda x: x IS NOT NULL AND NOT (coalesce(x.type, '') = 'text' AND NOT coalesce(regexp_matches(x.text, '\S'), false)))) > 0, false))),
+ AND (coalesce(regexp_matches(text, '\S'), false) OR coalesce(len(list_filter(TRY(from_json(blocks, '[{"type":"VARCHAR","text":"VARCHAR"}]')), lambda x: x IS NOT NULL AND NOT (coalesce(x.type, '') = 'text' AND NOT coalesce(regexp_matches(x.text, '\S'), false)))) > 0, false)))"""
+
+FOUND_SQL = _MESSAGES_SQL + """,
 o AS (SELECT *, row_number() OVER w AS rn, lead(who) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY session_id ORDER BY at_ NULLS FIRST, line_no NULLS FIRST, entry_id)),
 g AS (SELECT session_id, bool_or(at_ IS NULL OR who IS NULL OR (rn = 1 AND who <> 'user') OR (who = 'user' AND coalesce(nxt, '') <> 'assistant')) AS bad FROM o GROUP BY session_id)
-SELECT DISTINCT t.session_id FROM transcript_entries t LEFT JOIN g ON g.session_id = t.session_id WHERE t.session_id IS NOT NULL AND coalesce(g.bad, true)""".replace("coalesce(entry_id, 'null' || rowid_)", "entry_id")
+SELECT DISTINCT t.session_id FROM transcript_entries t LEFT JOIN g ON g.session_id = t.session_id WHERE t.session_id IS NOT NULL AND coalesce(g.bad, true)"""
+
+TURNS_SQL = _MESSAGES_SQL + """,
+o AS (SELECT *, row_number() OVER w AS rn, lead(who) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY session_id ORDER BY at_ NULLS FIRST, line_no NULLS FIRST, entry_id)),
+g AS (SELECT session_id FROM o GROUP BY session_id HAVING NOT bool_or(at_ IS NULL OR who IS NULL OR (rn = 1 AND who <> 'user') OR (who = 'user' AND coalesce(nxt, '') <> 'assistant')))
+SELECT o.session_id, rn AS turn_no, who AS role, CAST(at_ AT TIME ZONE 'UTC' AS TIMESTAMP) AS at, entry_id, text FROM o JOIN g ON g.session_id = o.session_id"""
+
+#: The slope of the squared violations is summed at every bound by a self-join inside the session; the least-squares offset is
+#: the mean of the bounds that are violated right of the last bound where the slope is not positive.
+OFFSETS_SQL = _MESSAGES_SQL + """,
+k AS (SELECT session_id, who, epoch_us(at_) AS t, lag(who) OVER w AS who0, lag(epoch_us(at_)) OVER w AS t0 FROM m WHERE at_ IS NOT NULL AND who IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY line_no NULLS FIRST, entry_id)),
+b AS (SELECT session_id, who = 'assistant' AS low, CASE WHEN who = 'assistant' THEN t0 - t ELSE t - t0 END AS b FROM k WHERE who <> who0),
+y AS (SELECT session_id, count(*) AS n_pairs, max(b) FILTER (low) AS lo, min(b) FILTER (NOT low) AS hi FROM b GROUP BY session_id),
+p AS (SELECT DISTINCT b.session_id, b.b AS at_ FROM b JOIN y ON y.session_id = b.session_id AND y.lo > y.hi),
+q AS (SELECT p.session_id, p.at_, coalesce(sum(p.at_ - b.b) FILTER (CASE WHEN low THEN b.b > p.at_ ELSE b.b < p.at_ END), 0) AS slope, sum(b.b) FILTER (CASE WHEN low THEN b.b > p.at_ ELSE b.b <= p.at_ END) AS s, count(*) FILTER (CASE WHEN low THEN b.b > p.at_ ELSE b.b <= p.at_ END) AS n FROM p JOIN b ON b.session_id = p.session_id GROUP BY 1, 2),
+x AS (SELECT session_id, arg_max(s::DOUBLE / n, at_) AS x FROM q WHERE slope <= 0 GROUP BY session_id)
+SELECT y.session_id, n_pairs, lo / 1e6 AS lowest_s, hi / 1e6 AS highest_s, CASE WHEN x.x IS NOT NULL THEN x.x / 1e6 WHEN lo > 0 THEN lo / 1e6 WHEN hi < 0 THEN hi / 1e6 ELSE 0.0 END AS offset_s, coalesce(lo <= hi, true) AS feasible FROM y LEFT JOIN x ON x.session_id = y.session_id"""

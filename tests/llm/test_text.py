@@ -89,6 +89,36 @@ def test_functions_of_less_common_forms():
     assert cut(go, "go") == [("F", 2, 4, "// F does."), ("G", 7, 9, "// G does.")]
 
 
+def test_pairs_come_from_the_texts_where_there_are_texts(spark):
+    from datetime import datetime
+
+    text = "package a\n\n// Add holds the lock.\nfunc Add(a int) int {\n\treturn a\n}\n\n// Old words.\nfunc Sub(a int) int {\n\treturn a\n}\n"
+    node = lambda i, name, line, doc, path="a.go": (i, "function", name, path, "go", line, line + 2, doc, "(a int) int", 1)
+    nodes = spark.createDataFrame(
+        [node("1", "Add", 4, "Add holds the lock."), node("2", "Sub", 9, "Newer words than the text has."), node("3", "Add", 4, None), node("4", "Far", 4, "Waits for the ring.", "b.go"), node("5", "Far", 4, "TODO", "b.go"), node("6", "Moved", 30, "Counts the rows twice.")],
+        "id string, kind string, name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, updated_at long",
+    )
+    files = spark.createDataFrame([("a.go", "go", datetime(2025, 1, 1)), ("b.go", "go", datetime(2025, 1, 1))], "path string, language string, indexed_at timestamp_ntz")
+    texts = spark.createDataFrame([("a.go", text), ("b.go", None)], "path string, content string")
+    got = {r["node_id"]: (r["documentation"], r["origin"], r["code"]) for r in docpairs.pairs(nodes, files, texts).collect()}
+    assert got == {"1": ("Add holds the lock.", "text", "func Add(a int) int {\n\treturn a\n}"), "2": ("Newer words than the text has.", "row", "func Sub(a int) int {\n\treturn a\n}"), "4": ("Waits for the ring.", "row", None), "6": ("Counts the rows twice.", "row", None)}
+
+
+def test_long_java_text_is_cut_in_linear_time():
+    import time
+
+    body = "class A {\n" + "".join(f"  /** Holds row {i}. */\n  public Map<String, List<int[]>> get{i}(final int a) throws X {{\n    return call(a, {i}).of(x < {i} ? a : b);\n  }}\n" for i in range(4000)) + "}\n"
+    start = time.time()
+    assert sum(1 for _ in docpairs.functions(body, "java")) == 4000
+    assert time.time() - start < 20
+
+
+def test_copyright_as_a_subject_is_documentation():
+    assert docpairs.tells_something("Copyright check of uploaded images.", "scan", "(a)")
+    for doc in ("Copyright 2021 Acme.", "(c) 2020 Acme", "Copyright (c) The Acme Authors", "Copyright Acme Inc."):
+        assert not docpairs.tells_something(doc, "scan", "(a)"), doc
+
+
 # --- problem 4 --------------------------------------------------------------------------------------------------------
 
 _ENTRY = "entry_id string, session_id string, member string, line_no int, entry_type string, role string, ts string, sidechain boolean, text string, blocks string, loaded_at timestamp_ntz"
@@ -190,6 +220,12 @@ def test_clock_constraints_of_one_session_over_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_corrected_clocks_make_a_torn_session_whole(spark):
+    spec = [("s", "user", None, 10, "q", None), ("s", "assistant", None, 7, "r", None), ("s", "user", None, 20, "q", None), ("s", "assistant", None, 18, "r", None), ("fine", "user", None, 1, "q", None), ("fine", "assistant", None, 2, "r", None)]
+    got = {r["session_id"]: (r["offset_s"], r["whole"], r["whole_corrected"]) for r in conversations.corrected(entries(spark, spec)).collect()}
+    assert got == {"s": (3.0, False, True), "fine": (0.0, True, True)}
+
+
 # --- problem 5 --------------------------------------------------------------------------------------------------------
 
 GOOD = {
@@ -224,6 +260,17 @@ def test_damaged_sources(lang):
             assert check.verdict(GOOD[other][0], lang) is not None, other
 
 
+def test_routine_bodies_conflicts_and_depth():
+    far = "x INT DEFAULT 1, " * 40
+    f = f"CREATE FUNCTION f({far}y INT) RETURNS INT AS $$\nBEGIN\n  RETURN %s;\nEND;\n$$ COST 10 LANGUAGE plpgsql;\n"
+    assert check.verdict(f % "1", "sql") is None and check.verdict(f % "(1", "sql") is not None
+    g = f"CREATE FUNCTION f({far}y INT) RETURNS INT LANGUAGE plpgsql AS $$\nBEGIN\n  RETURN %s;\nEND;\n$$;\n"
+    assert check.verdict(g % "1", "sql") is None and check.verdict(g % "(1", "sql") is not None
+    pad = "package a\n\n<<<<<<< HEAD\n" + "".join(f"var a{i} = {i}\n" for i in range(900)) + "func f( {\n"
+    assert check.verdict(pad, "go")[0] == "conflict"
+    assert check.verdict("x = " + "(" * 30_000 + "1" + ")" * 30_000 + "\n", "python") is None
+
+
 def test_furthest_failure():
     assert check.verdict("package a\n\nfunc f() {\n\tx := [1\n}\n", "go")[1] == 4
     assert check.verdict("a = 1\nb = (2\n", "python") == ("truncated", 3, 1)
@@ -286,6 +333,19 @@ def test_handwritten(path, text):
     assert provenance.reason(path, "x", 9, text) is None
 
 
+def test_numbered_code_by_hand_and_by_a_tool():
+    tests = "import unittest\n\nclass T(unittest.TestCase):\n" + "".join(f"    def test_case{i}(self):\n        {a}\n\n" for i, a in enumerate(("self.go(1)", "x = load()\n        self.assertEqual(x, 2)", "with self.assertRaises(E):\n            f()", "pass", "self.fail('no')", "for a in b:\n            g(a)"), 1))
+    steps = "".join(f"def step{i}(rows):\n    return rows\n\n" for i in range(1, 6))
+    for path in ("a/x.py", "a/gen/rules.py", "a/generated/x.py"):
+        assert provenance.reason(path, "python", 9, tests) is None
+    assert provenance.reason("a/x.py", "python", 9, steps) is None
+    assert provenance.reason("app/gen/rules.go", "go", 9, "package gen\n\nfunc Rules() []Rule {\n\treturn load()\n}\n") is None
+    assert provenance.reason("app/vendor/list.go", "go", 9, "package vendor\n\nfunc List() []string {\n\treturn load()\n}\n") is None
+    written = "".join(f"function get{a}{i}(msg) {{ return msg[{i}]; }}\n" for i, a in enumerate(("Row", "Key", "Ring", "Node") * 4))
+    assert provenance.reason("a/gen/x.js", "javascript", 9, written) and provenance.reason("a/x.js", "javascript", 9, written) is None
+    assert provenance.reason("a/x.py", "python", 2_000, HAND) is None and provenance.reason("a/x.py", "python", 2_000, HAND, 1_000) == "size"
+
+
 @pytest.mark.parametrize("head", ["/*\n" + " * licence text\n\n" * 40 + " * %s\n */\n", "// licence text\n" * 40 + "// %s\n", '"""\n' + "licence text\n" * 40 + '%s\n"""\n', "# licence text\n" * 40 + "# %s\n"])
 def test_notice_below_a_long_licence(head):
     notice = "Code generated by protoc-gen-go. DO NOT EDIT."
@@ -393,6 +453,37 @@ def test_search_finds_what_brute_force_finds():
         assert set(ix.search(text)) == want
 
 
+def test_short_items_count_as_a_whole():
+    items = [(1, "The brisk ladder starves."), (2, "one two three four five six seven eight nine ten eleven"), (3, "缓存会保存每一行的副本"), (4, "?!"), (5, "Кэш хранит копию каждой строки, пока читатель не закроет файл, и никогда не пишет её дважды, даже если")]
+    ix = leakage.ItemIndex(items)
+    for text, want in {
+        "so THE BRISK, ladder\n> starves now": [1], "the brisk ladder starve": [], "x one two three four five six seven eight nine ten eleven y": [2], "x one two three four other six seven eight nine ten eleven y": [2], "x one two three four five seven eight nine ten eleven y": [2],
+        "x one two three other five six seven other nine ten eleven y": [], "one two three four five six seven": [], "据说缓存会保存每一行的副本，直到": [3], "缓存不会保存每一行的副本": [3], "缓存不会保存每行的副本": [], "": [], "Он сказал: кэш хранит копию каждой строки, пока читатель не закроет файл, и никогда не пишет её дважды, даже если": [5], "пока читатель спит": [],
+    }.items():
+        assert ix.search(text) == want, text
+
+
+def test_many_added_words_and_repeats_are_found():
+    items, line = _items()
+    ix = leakage.ItemIndex(items)
+    w = items[7][1].split()
+    stretched = [y for i, x in enumerate(w) for y in ([x, "antidisestablishmentarianistically"] if i % 12 == 5 else [x])]
+    assert ix.search(line() + " " + " ".join(stretched) + " " + line()) == [7]
+    assert ix.search((" ".join(w[:20]) + " ") * 30) == [7]
+    r = random.Random(4)
+    words = [leakage.normal_words(t) for _, t in items]
+    for _ in range(15):
+        k = r.randrange(40)
+        src, out = items[k][1].split(), []
+        for x in src[r.randrange(8) :][: r.randrange(14, 48)]:
+            z = r.random()
+            out += ["averyverylongword" * 2, x] if z < 0.04 else [] if z < 0.07 else ["other"] if z < 0.1 else [x]
+        text = " ".join([line(), *out, line()])
+        doc = leakage.normal_words(text)
+        want = {i for (i, _), ws in zip(items, words) if any(leakage.holds(ws, doc, d) for d in range(-len(ws), len(doc)))}
+        assert set(ix.search(text)) == want
+
+
 def test_blocks_of_items_give_the_same(spark):
     items, line = _items()
     docs = [(i, line() + " " + items[i][1] + " " + line()) for i in range(0, 40, 4)] + [(99, None)]
@@ -419,6 +510,16 @@ def test_line_labels():
         assert share(t) < 0.5, t
 
 
+def test_long_front_matter_and_rules():
+    assert share("---\n" + "".join(f"key{i}: value of the row\n" for i in range(120)) + "---\n" + PROSE) >= 0.5
+    assert share("---\n" + PROSE + "\n---\n" + "a\t1\t2.5\n" * 3) >= 0.5
+
+
+def test_counts_of_a_text():
+    got = dict(zip(quality._COUNTS, quality.count_text('The "cache" is_ 3 µ-ring.\n\n- of it\n')))
+    assert got == {"n_words": 8, "n_word_chars": 26, "n_chars": 35, "n_symbols": 6, "n_lines": 2, "n_punct": 1, "n_common": 4}
+
+
 def test_very_long_texts(spark):
     long = PROSE + " " + "word salad of the day " * 100_000
     docs = spark.createDataFrame([(1, long), (2, "x" * 1_000_000), (3, "\n" * 300_000)], "doc_id long, text string")
