@@ -17,30 +17,50 @@ def priority(kind: Column) -> Column:
     return F.when(kind == "contains", 0).when(kind == "calls", 1).otherwise(2)
 
 
+def hits(edges: DataFrame, front: DataFrame, near: str, far: str, scratch: Scratch) -> DataFrame:
+    """(origin, edge_id, id): edges at the frontier (origin, id), each once per origin, however often its row is stored.
+
+    The frontier is a written table, so the join is a broadcast while it is small: the edges are then scanned with kind and
+    columns pushed down and never shuffled, and only the hits are made distinct. `edges` may hold repeated rows."""
+    step = edges.join(front.select("origin", F.col("id").alias("near_")), edges[near] == F.col("near_"))
+    return step.select("origin", F.col("edge_id"), F.col(far).alias("id")).distinct()
+
+
+def pruned(edges: DataFrame, kinds: tuple | None = None, skip: tuple = ()) -> DataFrame:
+    """edge_id, source, target of the edges that a walk may use; a plain filter and projection of the scan."""
+    e = edges.filter("source is not null and target is not null")
+    if kinds is not None:
+        e = e.filter(F.col("kind").isin(*kinds))
+    if skip:
+        e = e.filter(~F.col("kind").isin(*skip))
+    return e.select(F.col("id").alias("edge_id"), "source", "target")
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, incoming: bool = False, kinds: tuple | None = None, skip: tuple = (), keep_all: bool = False, label: str = "bfs") -> tuple[DataFrame, DataFrame]:
     """Nodes (origin, id, depth) and edges (origin, edge_id, depth) reached from seeds (origin, id).
 
     max_depth 0 means until nothing new is found. Walks of different origins are independent. An edge is kept when its far
     end had not been visited when its level began, or always with keep_all. Seeds have depth 0; null ends lead nowhere.
+    Edges are read as they are stored: repeated rows count once.
     """
     scratch = Scratch(edges.sparkSession, label)
     near, far = ("target", "source") if incoming else ("source", "target")
-    e = edges.filter(F.col(near).isNotNull() & F.col(far).isNotNull())
-    if kinds is not None:
-        e = e.filter(F.col("kind").isin(*kinds))
-    if skip:
-        e = e.filter(~F.col("kind").isin(*skip))
-    e = e.select(F.col("id").alias("edge_id"), F.col(near).alias("near"), F.col(far).alias("far"))
+    e = pruned(edges, kinds, skip)
     visited = front = scratch.write(seeds.select("origin", "id").distinct().withColumn("depth", F.lit(0)))
     kept: DataFrame | None = None
     depth = 0
     while max_depth == 0 or depth < max_depth:
         depth += 1
-        step = e.join(front.select("origin", F.col("id").alias("near")), "near").select("origin", "edge_id", F.col("far").alias("id"))
+        step = hits(e, front, near, far, scratch)
         step = scratch.write(step.join(visited.select("origin", "id", F.lit(True).alias("old")), ["origin", "id"], "left").withColumn("depth", F.lit(depth)))
         level = (step if keep_all else step.filter("old is null")).select("origin", "edge_id", "depth")
         kept = level if kept is None else kept.union(level)
-        front = scratch.write(step.filter("old is null").select("origin", "id", "depth").distinct())
+        # the new ends are few beside the edges: they are written only where a further level reads them more than once
+        front = step.filter("old is null").select("origin", "id", "depth").distinct()
+        if depth == max_depth:
+            visited = visited.union(front)
+            break
+        front = scratch.write(front)
         if front.isEmpty():
             break
         visited = visited.union(front)
@@ -49,11 +69,15 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, incoming: bool = Fal
 
 def impact_seeds(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Walk seeds of an impact query: what a container holds, or the start itself where it holds nothing. All children start
-    at once, so each node gets its least depth over all of them."""
-    kinded = starts.join(nodes.select("id", "kind"), "id")
-    inside = edges.filter("kind = 'contains' and source is not null and target is not null").select(F.col("source").alias("id"), "target")
-    kids = kinded.filter(F.col("kind").isin(*CONTAINERS)).join(inside, "id").select("origin", "id", F.col("target").alias("child")).distinct()
-    lone = kinded.join(kids.select("origin", "id").distinct(), ["origin", "id"], "left_anti").select("origin", "id")
+    at once, so each node gets its least depth over all of them. `nodes` (id, kind, ...) may hold all versions of the starts:
+    the latest (updated_at) counts."""
+    scratch = Scratch(edges.sparkSession, "seeds")
+    at = "updated_at" if "updated_at" in nodes.columns else "kind"
+    kinded = scratch.write(starts.join(nodes.select("id", "kind", F.col(at).alias("at_")), "id").groupBy("origin", "id").agg(F.max(F.struct("at_", "kind")).alias("m_")).select("origin", "id", F.col("m_.kind").alias("kind")))
+    inside = edges.filter("kind = 'contains' and source is not null and target is not null").select("source", F.col("target").alias("child"))
+    holders = kinded.filter(F.col("kind").isin(*CONTAINERS)).select("origin", "id")
+    kids = scratch.write(inside.join(holders, inside.source == holders.id).select("origin", "id", "child").distinct())
+    lone = kinded.select("origin", "id").join(kids.select("origin", "id").distinct(), ["origin", "id"], "left_anti")
     return kids.select("origin", F.col("child").alias("id")).union(lone)
 
 
@@ -62,8 +86,9 @@ def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int
     return bfs(edges, impact_seeds(nodes, edges, starts), max_depth or 3, incoming=True, skip=("contains",), keep_all=True, label="impact")
 
 
-def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, kinds: tuple | None = None, max_levels: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, kinds: tuple | None = None) -> DataFrame:
     """(step, id) of one shortest directed path from the row of start (id) to the row of goal (id); empty if there is none.
+    A path has no greatest length: the walk ends at the goal or when nothing new is found.
 
     The parent of a node is, of its neighbours in the level before, the one with the first edge kind, then the least id.
     """
@@ -71,19 +96,24 @@ def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, kinds: tu
     e = edges.filter("source is not null and target is not null")
     if kinds:
         e = e.filter(F.col("kind").isin(*kinds))
-    e = e.select("source", F.col("target").alias("id"), priority(F.col("kind")).alias("prio"))
-    seen = front = scratch.write(start.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
-    level = 0
-    while level < max_levels and front.join(goal, "id", "left_semi").isEmpty():
-        level += 1
-        step = e.join(front.select(F.col("id").alias("source")), "source").join(seen.select("id"), "id", "left_anti")
-        front = scratch.write(step.groupBy("id").agg(F.min(F.struct("prio", "source")).alias("m")).select("id", F.col("m.source").alias("parent"), F.lit(level).alias("level")))
+    e = e.select("source", "target", priority(F.col("kind")).alias("prio"))
+    front = scratch.write(start.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
+    goal = scratch.write(goal.select("id"))
+    levels = [front]
+    seen = front.select("id")
+    while front.join(F.broadcast(goal), "id", "left_semi").isEmpty():
+        step = e.join(front.select(F.col("id").alias("near_")), F.col("source") == F.col("near_")).select(F.col("target").alias("id"), "prio", "source").distinct().join(seen, "id", "left_anti")
+        front = scratch.write(step.groupBy("id").agg(F.min(F.struct("prio", "source")).alias("m")).select("id", F.col("m.source").alias("parent"), F.lit(len(levels)).alias("level")))
         if front.isEmpty():
             return front.select(F.col("level").alias("step"), "id")
-        seen = seen.union(front)
-    out = hop = scratch.write(front.join(goal, "id", "left_semi"))
-    for _ in range(level):
-        hop = scratch.write(seen.join(hop.select(F.col("parent").alias("id")), "id", "left_semi").filter(F.col("level") == level - 1))
-        level -= 1
-        out = out.union(hop)
-    return out.select(F.col("level").alias("step"), "id")
+        levels.append(front)
+        seen = seen.union(front.select("id"))
+        if len(levels) % 16 == 0:  # a long walk keeps few files to read back
+            seen = scratch.write(seen)
+    # back from the goal, one row and one small table a step
+    at = front.join(F.broadcast(goal), "id", "left_semi").first()
+    out = [(at["level"], at["id"])]
+    for level in reversed(levels[:-1]):
+        at = level.filter(F.col("id") == at["parent"]).first()
+        out.append((at["level"], at["id"]))
+    return edges.sparkSession.createDataFrame(out, "step int, id string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweft.functions.text import glob_regex
-from arborweft.operators import model
+from arborweft.operators import intervals, model
 from arborweft.operators.model import sql
 from arborweft.sources.tables import load
 
@@ -170,12 +170,9 @@ def metadata_lift(s, d):
 @query("interval_owner", sql("SELECT r.id AS ref_id, coalesce(arg_min(n.id, (n.end_line - n.start_line, n.id)), 'file:' || any_value(r.file_path)) AS owner FROM r LEFT JOIN n ON n.file_path = r.file_path AND n.kind IN ('function', 'method', 'class') AND n.start_line <= r.line AND n.end_line >= r.line WHERE r.file_path IS NOT NULL GROUP BY r.id"))
 def interval_owner(s, d):
     """The narrowest symbol whose lines hold a reference, else its file. A range join in blocks of 256 lines."""
-    block = lambda c: F.floor(F.col(c) / 256)
-    n = model.nodes(s, d, "id", "kind", "file_path", "start_line", "end_line").filter("kind in ('function', 'method', 'class') and start_line <= end_line")
-    n = n.select(F.col("id").alias("node_id"), "file_path", "start_line", "end_line", F.explode(F.sequence(block("start_line"), block("end_line"))).alias("b"))
-    r = model.refs(s, d, "file_path", "line").filter("file_path is not null").withColumn("b", block("line"))
-    hit = r.join(n, ["file_path", "b"]).filter("start_line <= line and end_line >= line").groupBy("id").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "node_id")).alias("m"))
-    return r.join(hit, "id", "left").select(F.col("id").alias("ref_id"), F.coalesce("m.node_id", F.concat(F.lit("file:"), "file_path")).alias("owner"))
+    n = model.nodes(s, d, "id", "kind", "file_path", "start_line", "end_line").filter("kind in ('function', 'method', 'class')")
+    r = model.refs(s, d, "file_path", "line").filter("file_path is not null")
+    return intervals.narrowest(r, n, "id").select(F.col("id").alias("ref_id"), "owner")
 
 
 @query("nested_versions", "SELECT path, count(DISTINCT content_hash) AS n_versions, epoch_us(max(indexed_at)) AS updated_us, string_agg(DISTINCT substr(content_hash, 1, 7), ',' ORDER BY substr(content_hash, 1, 7)) AS versions FROM files WHERE path IS NOT NULL GROUP BY path")

@@ -100,39 +100,6 @@ def routes(texts):
     return texts.select("n", F.explode(F.flatten(F.array(*[hit(k, p) for k, p in ROUTE_RULES.items()]))).alias("x")).select("n", "x.*")
 
 
-# Samples for temporary tables and templated SQL.
-SCRIPTS = (
-    (1, "CREATE PROCEDURE a AS BEGIN SELECT id INTO #t FROM base; SELECT * FROM #t; INSERT INTO ##g SELECT * FROM #missing; END"),
-    (2, "DECLARE @v TABLE (id INT); INSERT INTO @v SELECT id FROM src; UPDATE @other SET x = 1"),
-    (3, "SELECT * FROM {{ ref('orders') }} JOIN {{ source('raw', 'users') }} USING (id)"),
-    (4, "{{ config(alias='renamed') }} SELECT {{ cents('amount') }} FROM {{ ref(\"pay\") }}"),
-)
-_S = "s(n, q) AS (VALUES " + ", ".join(f"({i}, '{_q(t)}')" for i, t in SCRIPTS) + ")"
-_DECL, _USE = r"(?i)(?:INTO\s+|CREATE\s+TABLE\s+|DECLARE\s+)(##?\w+|@\w+(?:\s+TABLE))", r"(##?\w+|@\w+)"
-
-
-@query("temp_tables", f"WITH {_S}, de AS (SELECT DISTINCT n, lower(string_split(unnest(regexp_extract_all(q, '{_DECL}', 1)), ' ')[1]) AS tok FROM s), us AS (SELECT n, lower(unnest(regexp_extract_all(q, '{_USE}', 1))) AS tok FROM s) SELECT us.n, us.tok, count(*) AS n_uses FROM us JOIN de ON de.n = us.n AND de.tok = us.tok GROUP BY 1, 2")
-def temp_tables(s, d):
-    """Temporary tables and table variables; only declared ones count."""
-    t = s.createDataFrame(list(SCRIPTS), "n int, q string")
-    tok = lambda p: F.explode(F.regexp_extract_all("q", F.lit(p), F.lit(1))).alias("tok")
-    de = t.select("n", tok(_DECL)).select("n", F.lower(F.substring_index("tok", " ", 1)).alias("tok")).distinct()
-    return t.select("n", tok(_USE)).select("n", F.lower("tok").alias("tok")).join(de, ["n", "tok"]).groupBy("n", "tok").agg(F.count("*").alias("n_uses"))
-
-
-_REF, _SRC = r"""\{\{\s*ref\(\s*['"](\w+)['"]\s*\)""", r"""\{\{\s*source\(\s*['"](\w+)['"]\s*,\s*['"](\w+)['"]"""
-
-
-@query("template_refs", f"WITH {_S} SELECT DISTINCT n, 'ref' AS kind, unnest(regexp_extract_all(q, '{_q(_REF)}', 1)) AS name FROM s UNION SELECT n, 'source', z[1] || '.' || z[2] FROM (SELECT n, unnest(list_zip(regexp_extract_all(q, '{_q(_SRC)}', 1), regexp_extract_all(q, '{_q(_SRC)}', 2))) AS z FROM s)")
-def template_refs(s, d):
-    """References and sources of templated SQL."""
-    t = s.createDataFrame(list(SCRIPTS), "n int, q string")
-    a = t.select("n", F.lit("ref").alias("kind"), F.explode(F.regexp_extract_all("q", F.lit(_REF), F.lit(1))).alias("name"))
-    z = F.arrays_zip(F.regexp_extract_all("q", F.lit(_SRC), F.lit(1)).alias("a"), F.regexp_extract_all("q", F.lit(_SRC), F.lit(2)).alias("b"))
-    b = t.select("n", F.explode(z).alias("z")).select("n", F.lit("source"), F.concat_ws(".", "z.a", "z.b"))
-    return a.union(b).distinct()
-
-
 _NAMED = "name LIKE 'rotate%'"
 
 

@@ -153,10 +153,15 @@ _BASE = "(SELECT target AS id FROM e WHERE kind = 'extends' GROUP BY target ORDE
 
 def _top(e: DataFrame, by: str, other: str) -> DataFrame:
     """The key with most partners (ties: least id), as one seed row."""
-    top = e.groupBy(by).agg(F.count_distinct(other).alias("n")).orderBy(F.desc("n"), by).limit(1)
+    top = e.select(by, other).distinct().groupBy(by).agg(F.count(other).alias("n")).orderBy(F.desc("n"), by).limit(1)
     return top.select(F.col(by).alias("origin"), F.col(by).alias("id"))
 
 
+def _stored(s, d) -> DataFrame:
+    """The edges as they are stored, for walks: repeated rows are made distinct among the hits, not before."""
+    return load(s, d, "edges").select("id", *_E4)
+
+
 def _caller(e: DataFrame) -> DataFrame:
     return _top(e.filter("kind = 'calls' and source like 'function:%' and target not like 'package:%'"), "source", "target")
 
@@ -187,7 +192,7 @@ def _walk(name: str, seed, start_sql: str, incoming: bool, kinds: tuple, kinds_s
 
     @query(name, _walk_sql(start_sql, near, far, kinds_sql, depth))
     def run(s, d):
-        e = model.edges(s, d, *_E4)
+        e = _stored(s, d)
         got, _ = traverse.bfs(e, seed(e), depth, incoming, kinds)
         return got.select(F.col("id").alias("node_id"), *(["depth"] if with_depth else []))
 
@@ -205,8 +210,8 @@ lv AS (SELECT id, min(d) AS depth FROM w GROUP BY id)"""
 
 
 def _impact(s, d):
-    e = model.edges(s, d, *_E4)
-    return traverse.impact(model.nodes(s, d, "id", "kind"), e, _base(e))
+    e = _stored(s, d)
+    return traverse.impact(load(s, d, "nodes").select("id", "kind", "updated_at"), e, Scratch(s, "base").write(_base(e)))
 
 
 @query("impact_radius", sql(_IMPACT_SEED + " SELECT id AS node_id, depth FROM lv"))
@@ -219,7 +224,7 @@ def impact_radius(s, d):
 def impact_edges(s, d):
     """Every edge of each level, those back to visited nodes too."""
     kept = _impact(s, d)[1]
-    return model.edges(s, d, *_E4).join(kept.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("edge_id"), *_E4)
+    return _stored(s, d).join(kept.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("edge_id"), *_E4)
 
 
 @query(
@@ -229,7 +234,7 @@ SELECT e.id AS edge_id FROM lv a JOIN e ON e.source = a.id AND {_CALL} JOIN lv b
 )
 def callee_edges(s, d):
     """The edge rule of a plain walk: an edge stays when its far end was unvisited at the start of its level."""
-    e = model.edges(s, d, *_E4)
+    e = _stored(s, d)
     return traverse.bfs(e, _caller(e), 3, False, traverse.CALL_KINDS)[1].select("edge_id").distinct()
 
 
@@ -241,7 +246,7 @@ p(step, id) AS (SELECT depth, id FROM far UNION ALL SELECT p.step - 1, pr.parent
 
 
 def _path(s, d):
-    e = model.edges(s, d, *_E4)
+    e = _stored(s, d)
     holders = e.filter("kind = 'contains' and source like 'file:%'").join(e.filter("kind = 'extends'").select(F.col("source").alias("target")).distinct(), "target", "left_semi")
     start = Scratch(s, "start").write(holders.agg(F.min("source").alias("id")))
     got, _ = traverse.bfs(e, start.select(F.col("id").alias("origin"), "id"), 6)
@@ -311,7 +316,7 @@ SELECT origin, id AS node_id, min(d) AS depth FROM w GROUP BY 1, 2"""),
 def multi_def_impact(s, d):
     """Every definition of a name walks on its own; the origin column keeps them apart."""
     st = model.nodes(s, d, "id", "name").filter("name = 'entry'").select(F.col("id").alias("origin"), "id")
-    got, _ = traverse.bfs(model.edges(s, d, *_E4), st, 3, incoming=True, skip=("contains",))
+    got, _ = traverse.bfs(_stored(s, d), st, 3, incoming=True, skip=("contains",))
     return got.select("origin", F.col("id").alias("node_id"), "depth")
 
 
@@ -322,21 +327,22 @@ SELECT DISTINCT source, target, kind FROM e WHERE source <> target AND source IN
 )
 def local_subgraph(s, d):
     """Both directions to depth 2 (packages are not walked through), then the induced edges without self loops."""
-    e = model.edges(s, d, *_E4)
-    both = e.select("id", "source", "target", "kind").union(e.select("id", F.col("target").alias("source"), F.col("source").alias("target"), "kind")).filter("source not like 'package:%'")
-    got, _ = traverse.bfs(both, _base(e), 2)
-    ids = got.select("id").distinct()
+    e = _stored(s, d)
+    ends = lambda a, b: e.select("id", F.col(a).alias("source"), F.col(b).alias("target"), "kind")
+    both = ends("source", "target").union(ends("target", "source")).filter("source not like 'package:%'")
+    got, _ = traverse.bfs(both, Scratch(s, "base").write(_base(e)), 2)
+    ids = Scratch(s, "inside").write(got.select("id").distinct())
     return e.filter("source <> target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "kind").distinct()
 
 
 @query("node_context", sql(f", st AS {_CALLED} SELECT 'caller' AS side, e.id AS edge_id, source AS node_id FROM e JOIN st ON st.id = e.target WHERE {_CALL} AND source <> st.id UNION ALL SELECT 'callee', e.id, target FROM e JOIN st ON st.id = e.source WHERE {_CALL} AND target <> st.id"))
 def node_context(s, d):
     """Callers and callees at depth 1 with their edges."""
-    e = model.edges(s, d, *_E4)
+    e = _stored(s, d)
     st = Scratch(s, "context").write(_called(e))
     c = e.filter(F.col("kind").isin(*traverse.CALL_KINDS))
     into = c.join(st.select(F.col("id").alias("target")), "target").filter("source <> target").select(F.lit("caller").alias("side"), F.col("id").alias("edge_id"), F.col("source").alias("node_id"))
-    return into.union(c.join(st.select(F.col("id").alias("source")), "source").filter("source <> target").select(F.lit("callee"), "id", "target"))
+    return into.union(c.join(st.select(F.col("id").alias("source")), "source").filter("source <> target").select(F.lit("callee"), "id", "target")).distinct()
 
 
 # --- whole-graph reports (G8, G9, G18-G31) ----------------------------------------------------------------------------
@@ -364,9 +370,7 @@ def circular_components(s, d):
 def import_cycles(s, d):
     """The back edges of the depth-first traversal of file imports, files in order of id. No SQL: the order of a
     depth-first traversal is sequential; tests compare it with a plain traversal."""
-    lk = _import_links(s, d)
-    scratch = Scratch(s, "cycles")
-    return hierarchy._traverse(hierarchy.with_component(scratch.write(lk), scratch), hierarchy._back_rows, "edge_kind string, parent string, child string").select("parent", "child")
+    return hierarchy.back_edges_of(_import_links(s, d)).select("parent", "child")
 
 
 @query("export_dedup", sql("SELECT DISTINCT source, target, kind FROM e"))

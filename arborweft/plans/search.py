@@ -140,7 +140,7 @@ def edge_dedup_provenance(s, d):
 
 def context_nodes(s, d):
     """Seeds (0), what they reach as callees (1) and as callers (2) within depth 2; the least label holds."""
-    e = model.edges(s, d, "source", "target", "kind")
+    e = load(s, d, "edges").select("id", "source", "target", "kind")
     st = Scratch(s, "seeds").write(context_seeds(s, d).select(F.col("id").alias("origin"), "id"))
     down, _ = traverse.bfs(e, st, 2, False, traverse.CALL_KINDS)
     up, _ = traverse.bfs(e, st, 2, True, traverse.CALL_KINDS)
@@ -196,7 +196,7 @@ def call_chains(s, d):
     """All call chains from one symbol, at most six long; a chain that meets itself ends there. Chains are rows, one
     bounded join per step."""
     c = Scratch(s, "calls").write(load(s, d, "edges").filter("kind = 'calls' and source is not null and target not like 'package:%'").select("source", "target").distinct())
-    st = _caller(model.edges(s, d, "source", "target", "kind"))
+    st = _caller(load(s, d, "edges").select("id", "source", "target", "kind"))
     cur = st.select(F.array("id").alias("chain"), F.col("id").alias("source"))
     scratch, out = Scratch(s, "chains"), None
     for n in range(2, 7):

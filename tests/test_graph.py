@@ -49,6 +49,33 @@ def test_shortest_path(spark, diamond):
     assert rows(traverse.shortest_path(diamond, one("a"), one("m"))) == []
 
 
+def test_long_path_has_no_bound(spark):
+    e = spark.range(66).select(F.col("id"), F.format_string("n%03d", F.col("id")).alias("source"), F.format_string("n%03d", F.col("id") + 1).alias("target"), F.lit("calls").alias("kind"))
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    got = rows(traverse.shortest_path(e, one("n000"), one("n066")))
+    assert sorted(got) == [(i, f"n{i:03d}") for i in range(67)]
+
+
+def test_a_level_shuffles_hits_not_edges(spark, data, tmp_path):
+    """A small frontier is broadcast: below the join the edges are a scan with its filters, without an exchange."""
+    e = traverse.pruned(load(spark, data, "edges"), traverse.CALL_KINDS)
+    seed(spark, "function:x").write.parquet(str(tmp_path / "front"))
+    step = traverse.hits(e, spark.read.parquet(str(tmp_path / "front")), "target", "source", None)
+    plan = step._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    tree = plan.split("\n\n")[0].split("\n")
+    scan = next(i for i, x in enumerate(tree) if "Scan parquet" in x)
+    join = next(i for i, x in enumerate(tree) if "BroadcastHashJoin" in x)
+    assert not [x for x in tree[join:scan] if "Exchange" in x and "BroadcastExchange" not in x], plan
+    assert "IsNotNull(target)" in plan and "PushedFilters" in plan
+
+
+def test_repeated_edge_rows_count_once(spark, diamond):
+    twice = diamond.union(diamond)
+    for walk in (lambda e: traverse.bfs(e, seed(spark, "a"), 3, keep_all=True), lambda e: traverse.bfs(e, seed(spark, "d"), 0, incoming=True)):
+        a, b = walk(diamond), walk(twice)
+        assert rows(a[0]) == rows(b[0]) and rows(a[1]) == rows(b[1])
+
+
 def test_osa_against_plain_recursion():
     def plain(a, b):
         if not a or not b:
