@@ -375,21 +375,40 @@ def best_fit_by_rows(sizes, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_plan_packs_like_best_fit(seed):
+@pytest.mark.parametrize("seed, partitions", [(0, 1), (1, 7), (2, 7), (3, 16)])
+def test_supersteps_pack_like_best_fit(spark, seed, partitions):
+    """In any number of ranges: nothing lost, nothing over the capacity, close to best fit by rows and to the bound."""
     r = random.Random(seed)
-    cap = r.choice([10, 50, 2048])
-    sizes = [min(cap, max(1, int(r.expovariate(1 / (cap / 4))))) for _ in range(400)]
-    hist = {s: sizes.count(s) for s in set(sizes)}
-    placed, (opened,) = packing.plan(hist, cap)
-    used, done = {}, {}
-    for s, rank, n, first in placed:
-        for k in range(n):
-            used[first + k] = used.get(first + k, 0) + s
-            assert (s, rank + k) not in done
-            done[s, rank + k] = 1
-    assert len(done) == len(sizes) and max(used.values()) <= cap and len(used) == opened
-    assert opened <= best_fit_by_rows(sizes, cap) * 1.02 + 1
+    cap = r.choice([50, 2048])
+    sizes = [min(cap, max(1, int(r.expovariate(1 / (cap / 6))))) for _ in range(2000)] + [3] * 1500  # a size that a third shares
+    docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        out = packing.pack(docs, cap).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    used = {}
+    for x in out:
+        used[x["container_id"]] = used.get(x["container_id"], 0) + x["n_tokens"]
+    assert sorted((x["doc_id"], x["n_tokens"]) for x in out) == sorted(enumerate(sizes)) and max(used.values()) <= cap
+    assert len(used) <= max(best_fit_by_rows(sizes, cap), -(-sum(sizes) // cap)) * 1.03 + 1
+
+
+def test_brackets_are_stitched_over_ranges():
+    r = random.Random(5)
+    for _ in range(200):
+        parts = [(p, r.randrange(5), r.randrange(5)) for p in range(r.randrange(1, 8))]
+        stack, want = [], set()
+        for p, slots, docs in parts:
+            for k in range(slots):
+                if stack:
+                    want.add((*stack.pop(), p, k))
+            stack += [(p, k) for k in range(docs)]
+        spans = packing.stitch(parts)
+        assert len(spans) <= 2 * len(parts)
+        assert {(q, hi - 1 - k, p, at + k) for q, lo, hi, p, at in spans for k in range(hi - lo)} == want
 
 
 def test_pack_every_document_once(spark):
