@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from arborweft.functions.bitmaps import Bitmap
 from arborweft.sources.tables import Scratch, load
 
-#: Broadcasting the orphan keys is allowed up to this many keys (ids of some 50 bytes: about 10 MB); beyond it the join shuffles.
-BROADCAST_KEYS = 100_000
+#: The decoded orphans (key, use) are broadcast up to this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def _orphans_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,20 +79,30 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return refs, n.select(F.col("id").alias("key"), "updated_at"), r.select(F.col("node_id").alias("key"), "removed_at")
 
 
+def _use(*cols: str) -> Column:
+    return F.concat_ws("|", *cols)
+
+
+def orphans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The references (with their use: table, column and period), and the surviving bits, decoded: (key, use), written."""
+    refs, parents, removals = _inputs(spark, sf_dir)
+    refs = refs.withColumn("use", _use("table_name", "column_name", "period"))
+    return refs, Scratch(spark, "orphans").write(orphan_keys(refs.select("key", "use"), parents, removals))
+
+
+def rows_of(refs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The reference rows behind the surviving bits: an equi-join on key and use."""
+    size = bad.agg(F.sum(F.octet_length("key") + F.octet_length("use") + 16)).first()[0] or 0
+    # the adaptive skew join splits a hot orphan key
+    return refs.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad.hint("merge"), ["key", "use"], "left_semi")
+
+
 def dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference row whose key has no living parent: table_name, column_name, period, record_id, key.
 
     A record stored twice gives its row twice. A reference without loaded_at has the period ''. Empty tables give no row.
     """
-    refs, parents, removals = _inputs(spark, sf_dir)
-    uses = refs.select("key", F.concat_ws("|", "table_name", "column_name", "period").alias("use"))
-    scratch = Scratch(spark, "orphans")
-    bad = scratch.write(orphan_keys(uses, parents, removals).select("key").distinct())
-    if bad.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        bad = F.broadcast(bad)
-    else:
-        bad = bad.hint("merge")  # the adaptive skew join splits a hot orphan key
-    return refs.join(bad, "key", "left_semi")
+    return rows_of(*orphans(spark, sf_dir)).select("table_name", "column_name", "period", "record_id", "key")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +111,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dangling references per table, column and month of loaded_at: distinct records and distinct missing keys."""
-    rows = dangling(spark, sf_dir).select("table_name", "column_name", "period", "key", "record_id").distinct()
+    """Dangling references per table, column and month of loaded_at: distinct records, and distinct missing keys, which are
+    the surviving bits of the period's bitmaps."""
+    refs, bad = orphans(spark, sf_dir)
+    rows = rows_of(refs, bad).select("table_name", "column_name", "period", "use", "key", "record_id").distinct()
     # per key first: no list of records is ever built, however many records share an orphan key
-    per = rows.groupBy("table_name", "column_name", "period", "key").agg(F.count("*").alias("n"))
-    return per.groupBy("table_name", "column_name", "period").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_keys"))
+    per = rows.groupBy("table_name", "column_name", "period", "use", "key").agg(F.count("*").alias("n"))
+    records = per.groupBy("table_name", "column_name", "period", "use").agg(F.sum("n").alias("n_records"))
+    return records.join(bad.groupBy("use").agg(F.count("*").alias("n_keys")), "use").select("table_name", "column_name", "period", "n_records", "n_keys")

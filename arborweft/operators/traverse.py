@@ -98,20 +98,22 @@ def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, kinds: tu
         e = e.filter(F.col("kind").isin(*kinds))
     e = e.select("source", "target", priority(F.col("kind")).alias("prio"))
     front = scratch.write(start.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
-    goal = scratch.write(goal.select("id"))
-    levels = [front]
-    seen = front.select("id")
-    while front.join(F.broadcast(goal), "id", "left_semi").isEmpty():
-        step = e.join(front.select(F.col("id").alias("near_")), F.col("source") == F.col("near_")).select(F.col("target").alias("id"), "prio", "source").distinct().join(seen, "id", "left_anti")
+    aim = goal.select("id").first()
+    levels, seen = [front], front.select("id")
+    while True:
+        size, there = front.agg(F.count("*"), F.max(F.col("id") == (aim[0] if aim else None))).first()
+        if not size or aim is None:
+            return front.limit(0).select(F.col("level").alias("step"), "id")
+        if there:
+            break
+        step = e.join(front.select(F.col("id").alias("near_")), F.col("source") == F.col("near_")).select(F.col("target").alias("id"), "prio", "source").join(seen, "id", "left_anti")
         front = scratch.write(step.groupBy("id").agg(F.min(F.struct("prio", "source")).alias("m")).select("id", F.col("m.source").alias("parent"), F.lit(len(levels)).alias("level")))
-        if front.isEmpty():
-            return front.select(F.col("level").alias("step"), "id")
         levels.append(front)
         seen = seen.union(front.select("id"))
         if len(levels) % 16 == 0:  # a long walk keeps few files to read back
             seen = scratch.write(seen)
     # back from the goal, one row and one small table a step
-    at = front.join(F.broadcast(goal), "id", "left_semi").first()
+    at = front.filter(F.col("id") == aim[0]).first()
     out = [(at["level"], at["id"])]
     for level in reversed(levels[:-1]):
         at = level.filter(F.col("id") == at["parent"]).first()
