@@ -6,26 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweft.functions.text import common_prefix
+from arborweft.sources.tables import Scratch
 
-# Built-in names per language family, whose references are dropped; scores; SQL object kinds; verbs of
-# query builders.
+# Built-in names per language family, whose references are dropped; languages of the JVM; scores; SQL object kinds;
+# verbs of query builders.
 BUILTINS = {
-    "javascript typescript": "console process Math JSON Object Array String Number Boolean Symbol Promise Error TypeError RangeError setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN isFinite require module exports __dirname __filename Buffer",
-    "python": "print len range enumerate zip map filter sorted reversed list dict set tuple str int float bool bytes type isinstance issubclass hasattr getattr setattr delattr open super object Exception ValueError TypeError KeyError IndexError",
-    "go": "append cap close complex copy delete imag len make new panic print println real recover error bool string int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 float32 float64 byte rune",
-    "java": "System Object String Integer Long Double Float Boolean Math Exception RuntimeException println",
-}
+    ("javascript", "typescript"): {
+        "Array", "Boolean", "Buffer", "Error", "JSON", "Math", "Number", "Object", "Promise", "RangeError", "String", "Symbol", "TypeError", "__dirname", "__filename", "clearInterval", "clearTimeout", "console", "exports", "isNaN", "isFinite",
+        "module", "parseFloat", "parseInt", "process", "require", "setInterval", "setTimeout",
+    },
+    ("python",): {
+        "Exception", "IndexError", "KeyError", "TypeError", "ValueError", "bool", "bytes", "delattr", "dict", "enumerate", "filter", "float", "getattr", "hasattr", "int", "isinstance", "issubclass", "len", "list", "map", "object", "open",
+        "print", "range", "reversed", "set", "setattr", "sorted", "str", "super", "tuple", "type", "zip",
+    },
+    ("go",): {
+        "append", "bool", "byte", "cap", "close", "complex", "copy", "delete", "error", "float32", "float64", "imag", "int", "int16", "int32", "int64", "int8", "len", "make", "new", "panic", "print", "println", "real", "recover", "rune", "string",
+        "uint", "uint16", "uint32", "uint64", "uint8",
+    },
+    ("rust",): {"assert", "assert_eq", "assert_ne", "eprint", "eprintln", "format", "panic", "print", "println", "todo", "unimplemented", "unreachable", "vec"},
+    ("java", "kotlin"): {"Boolean", "Double", "Exception", "Float", "Integer", "Long", "Math", "Object", "RuntimeException", "String", "System", "println"},
+}
+JVM, BIASED = ("java", "kotlin", "scala"), ("java", "cpp", "kotlin", "scala")
 SAME_FILE, PROXIMITY, SAME_LANGUAGE, CROSS_LANGUAGE, AFFINITY, EXPORTED = 100.0, 80.0, 50.0, -80.0, 25.0, 10.0
 SQL_KINDS = ("table", "view", "procedure", "function")
-BUILDER_VERBS = "selectfrom insertinto updatetable deletefrom replaceinto mergeinto from into table join innerjoin leftjoin rightjoin fulljoin crossjoin joinraw call callproc from_ table_ column field tablename withtablename totable hascolumnname hastablename entityname".split()
+BUILDER_VERBS = {
+    "call", "callproc", "column", "crossjoin", "deletefrom", "entityname", "field", "from", "from_", "fulljoin", "hascolumnname", "hastablename", "innerjoin", "insertinto", "into", "join", "joinraw", "leftjoin", "mergeinto", "replaceinto",
+    "rightjoin", "selectfrom", "table", "table_", "tablename", "totable", "updatetable", "withtablename",
+}
 FUZZY_MAX_BYTES, FUZZY_FACTOR = 40, 0.6
+#: Strategies in their order; the number stands in the results, 0 is unresolved.
+FQN, IMPORT, PATH, QUALIFIED, QUALIFIED_TAIL, METHOD, SQL_EQUAL, SQL_TAIL, EXACT, FUZZY = range(1, 11)
 
 
 def is_builtin(name: Column, language: Column) -> Column:
     """R2. A literal list of fixed size: no join."""
     out = F.lit(False)
     for langs, names in BUILTINS.items():
-        out = out | (language.isin(*langs.split()) & name.isin(*names.split()))
+        out = out | (language.isin(*langs) & name.isin(*sorted(names)))
     return F.coalesce(out, F.lit(False))
 
 
@@ -55,7 +72,8 @@ def score(ref: str = "r", node: str = "n") -> Column:
 def _best(cand: DataFrame) -> DataFrame:
     """Per reference the candidate of the first strategy, then the greatest score, then the least id: one aggregation with
     a map-side combine instead of a sorted window."""
-    pick = F.min(F.struct("strategy", (-F.round("score", 6)).alias("neg"), F.col("node_id"), "node_kind"))
+    first = F.col("bias") if "bias" in cand.columns else F.lit(1)
+    pick = F.min(F.struct("strategy", (-F.round("score", 6)).alias("neg"), first.alias("b"), F.col("node_id"), "node_kind"))
     return cand.groupBy("ref_id").agg(pick.alias("m")).select("ref_id", "m.strategy", "m.node_id", "m.node_kind", (-F.col("m.neg")).alias("score"))
 
 
@@ -67,26 +85,66 @@ def _joined(refs: DataFrame, nodes: DataFrame, on: Column, strategy: int, more:
 
 
 def candidates_exact(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """R13, fourth strategy: equal names in any letter case."""
-    return _joined(refs.withColumn("k", F.lower("reference_name")), nodes.withColumn("k", F.lower("name")), F.col("r.k") == F.col("n.k"), 4)
-
-
-def candidates_qualified(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """R14: '::' or at least two dots: same last part; equal whole names win (2), else names that end with it (3)."""
-    q = refs.filter(F.col("reference_name").contains("::") | (F.length("reference_name") - F.length(F.replace("reference_name", F.lit("."), F.lit(""))) >= 2))
-    q = q.withColumn("k", F.lower(simple_name(F.col("reference_name")))).withColumn("full", F.lower("reference_name"))
-    n = nodes.withColumn("k", F.lower("name")).withColumn("q", F.lower("qualified_name"))
-    j = q.alias("r").join(n.alias("n"), F.col("r.k") == F.col("n.k"))
-    same = F.col("n.q") == F.col("r.full")
-    tail = F.col("n.q").endswith(F.concat(F.lit("::"), "r.full")) | F.col("n.q").endswith(F.concat(F.lit("."), "r.full"))
-    return j.filter(same | tail).select(F.col("r.id").alias("ref_id"), F.when(same, 1).otherwise(2).alias("strategy"), F.col("n.id").alias("node_id"), F.col("n.kind").alias("node_kind"), score().alias("score"))
+    """Equal names in any letter case."""
+    return _joined(refs.withColumn("k", F.lower("reference_name")), nodes.withColumn("k", F.lower("name")), F.col("r.k") == F.col("n.k"), EXACT)
+
+
+def _dots(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))
+
+
+def probes(refs: DataFrame) -> DataFrame:
+    """One row per reference and strategy that a symbol's name can settle: strategy `st`, key `k` in lower case, whole name
+    `full`, receiver `recv`. Import references have none: they resolve by path alone."""
+    name, low = F.col("reference_name"), F.lower("reference_name")
+    flat = ~name.contains("/")
+    last = F.lower(simple_name(name))
+    qualified = name.contains("::") | (flat & (_dots(name) >= 2))
+    method = flat & name.rlike(r"^[^.]+\.[^.]+$")
+    none = F.lit(None).cast("string")
+    say = lambda on, st, key: F.when(on, F.struct(F.lit(st).alias("st"), key.alias("k")))
+    each = F.filter(
+        F.array(
+            say(F.col("language").isin(*JVM) & name.contains("."), FQN, F.lower(F.substring_index(name, ".", -1))), say(qualified, QUALIFIED, last), say(method, METHOD, F.lower(F.substring_index(name, ".", -1))),
+            say(method & (F.col("language") == "sql"), SQL_EQUAL, last), say(F.lit(True), EXACT, low),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    r = refs.filter("reference_kind <> 'imports' and reference_name <> ''").withColumn("full", low)
+    r = r.withColumn("recv", F.when(method, F.lower(F.substring(F.substring_index(name, ".", 1), 1, 4))).otherwise(none))
+    return r.withColumn("x_", F.explode(each)).withColumn("st", F.col("x_.st")).withColumn("k", F.col("x_.k")).drop("x_")
+
+
+def by_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates of all strategies that go by name, from one join on (key = name in lower case). Keys without a
+    symbol of that name (R3) find nothing there. `bias` puts candidates with the receiver's first letters in their qualified
+    name first, for languages without type inference here."""
+    n = nodes.filter("name is not null").withColumn("k", F.lower("name")).withColumn("q", F.lower("qualified_name"))
+    j = probes(refs).alias("r").join(n.alias("n"), F.col("r.k") == F.col("n.k"))
+    st, q, full = F.col("r.st"), F.col("n.q"), F.col("r.full")
+    same = q == full
+    tail = q.endswith(F.concat(F.lit("::"), full)) | q.endswith(F.concat(F.lit("."), full))
+    got = (
+        F.when((st == FQN) & same, FQN)
+        .when((st == QUALIFIED) & same, QUALIFIED)
+        .when((st == QUALIFIED) & tail, QUALIFIED_TAIL)
+        .when((st == METHOD) & F.col("n.kind").isin("function", "method"), METHOD)
+        .when((st == SQL_EQUAL) & same, SQL_EQUAL)
+        .when((st == SQL_EQUAL) & tail, SQL_TAIL)
+        .when(st == EXACT, EXACT)
+    )
+    words = F.split(F.coalesce(q, F.lit("")), "[:.]+")
+    bias = F.when((got == METHOD) & F.col("r.language").isin(*BIASED) & F.exists(words, lambda w: w.startswith(F.col("r.recv"))), 0).otherwise(1)
+    return j.select(F.col("r.id").alias("ref_id"), got.alias("strategy"), F.col("n.id").alias("node_id"), F.col("n.kind").alias("node_kind"), F.when(got == FQN, 200.0).otherwise(score()).alias("score"), bias.alias("bias")).filter("strategy is not null")
 
 
-def candidates_method(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Receiver.method: functions and methods of that name."""
-    name = F.when(F.length(F.coalesce("callee_expr", F.lit(""))) > 0, F.col("callee_expr")).otherwise(F.col("reference_name"))
-    m = refs.withColumn("k", F.lower(F.when(name.rlike(r"^[^.]+\.[^.]+$"), F.substring_index(name, ".", -1)))).filter("k is not null")
-    return _joined(m, nodes.filter("kind in ('function', 'method')").withColumn("k", F.lower("name")), F.col("r.k") == F.col("n.k"), 3)
+def by_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Names with a '/' that are the path of a file, as it stands or with one of the endings of the language."""
+    r = refs.filter("reference_kind <> 'imports'").filter(F.col("reference_name").contains("/"))
+    r = r.withColumn("path", F.explode(F.array_distinct(F.array_append(candidate_paths(F.col("reference_name"), F.col("language")), F.col("reference_name")))))
+    n = nodes.filter("id like 'file:%'").withColumn("path", F.expr("substring(id, 6)"))
+    j = r.alias("r").join(n.alias("n"), F.col("r.path") == F.col("n.path"))
+    return j.select(F.col("r.id").alias("ref_id"), F.lit(PATH).alias("strategy"), F.col("n.id").alias("node_id"), F.col("n.kind").alias("node_kind"), score().alias("score"), F.when(F.col("r.path") == F.col("r.reference_name"), 0).otherwise(1).alias("bias"))
 
 
 def _pieces(word: Column, length: Column) -> list[tuple[Column, Column]]:
@@ -127,12 +185,12 @@ def candidates_fuzzy(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.withColumn("b", F.lower("name"))
     near = similar_names(r.select("a"), n.select("b"))
     j = r.join(near, "a").alias("r").join(n.alias("n"), F.col("r.b") == F.col("n.b"))
-    return j.select(F.col("r.id").alias("ref_id"), F.lit(5).alias("strategy"), F.col("n.id").alias("node_id"), F.col("n.kind").alias("node_kind"), score().alias("score"))
+    return j.select(F.col("r.id").alias("ref_id"), F.lit(FUZZY).alias("strategy"), F.col("n.id").alias("node_id"), F.col("n.kind").alias("node_kind"), score().alias("score"))
 
 
 def confidence(sc: Column, strategy: Column) -> Column:
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sc / 200.0))
-    return F.round(F.when(strategy == 5, c * FUZZY_FACTOR).otherwise(c), 6)
+    return F.round(F.when(strategy == FUZZY, c * FUZZY_FACTOR).otherwise(c), 6)
 
 
 def promote(reference_kind: Column, node_kind: Column) -> Column:
@@ -140,22 +198,45 @@ def promote(reference_kind: Column, node_kind: Column) -> Column:
     return F.when((reference_kind == "calls") & node_kind.isin("class", "struct"), "instantiates").when((reference_kind == "extends") & node_kind.isin("interface", "trait", "protocol"), "implements").otherwise(reference_kind)
 
 
-def cascade(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ref_id, strategy, node_id, score, confidence, edge_kind, provenance of each resolved reference.
+def cascade(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """ref_id, strategy, node_id, score, confidence, edge_kind of each resolved reference.
 
-    Built-in names are dropped first; SQL string references have their own passes. All strategies are united and the first
-    that finds anything decides; the rest of the set-based plan has no order.
-    """
+    Built-in names are dropped first; SQL string references have their own passes. One join on the name serves all strategies
+    that go by name, and one aggregation keeps the first of them; only what is then still open meets the names of similar
+    spelling. imports (ref_id, target_id): what import references resolve to by path (operators/imports.py)."""
+    scratch = Scratch(refs.sparkSession, "cascade")
     r = refs.filter(~is_builtin(F.col("reference_name"), F.col("language")) & ~F.col("reference_kind").isin("sql_string", "sql_fragment"))
-    parts = [f(r, nodes) for f in (candidates_qualified, candidates_method, candidates_exact, candidates_fuzzy)]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    best = _best(all_)
-    j = best.join(r.select(F.col("id").alias("ref_id"), "reference_kind", "language"), "ref_id")
+    r = scratch.write(r)
+    nodes = scratch.write(nodes)
+    cand = by_name(r, nodes)
+    if not r.filter("reference_kind <> 'imports' and contains(reference_name, '/')").isEmpty():
+        cand = cand.unionByName(by_path(r, nodes))
+    first = scratch.write(_best(cand))
+    rest = r.filter((F.col("reference_kind") != "imports") & (F.octet_length("reference_name") <= FUZZY_MAX_BYTES)).join(first.select(F.col("ref_id").alias("id")), "id", "left_anti")
+    done = first.unionByName(_best(candidates_fuzzy(rest, nodes)))
+    if imports is not None:
+        kinds = nodes.select(F.col("id").alias("target_id"), F.col("kind").alias("node_kind"))
+        i = imports.filter("target_id is not null").join(kinds, "target_id", "left")
+        done = done.unionByName(i.select("ref_id", F.lit(IMPORT).alias("strategy"), F.col("target_id").alias("node_id"), F.coalesce("node_kind", F.lit("package")).alias("node_kind"), F.lit(200.0).alias("score")))
+    j = done.join(r.select(F.col("id").alias("ref_id"), "reference_kind"), "ref_id")
     return j.select("ref_id", "strategy", "node_id", "score", confidence(F.col("score"), F.col("strategy")).alias("confidence"), promote(F.col("reference_kind"), F.col("node_kind")).alias("edge_kind"))
 
 
+def edges_of(resolved: DataFrame, refs: DataFrame) -> DataFrame:
+    """The edges of resolved references: source, target, kind, line, metadata (refArgs, null without arguments) and
+    provenance ('embedded' for SQL references outside SQL files)."""
+    r = refs.select(F.col("id").alias("ref_id"), F.col("from_node_id").alias("source"), "line", "arguments", "language", "file_path")
+    meta = F.when(F.size(F.coalesce("arguments", F.array().cast("array<string>"))) > 0, F.to_json(F.struct(F.col("arguments").alias("refArgs"))))
+    embedded = (F.col("language") == "sql") & ~F.lower(F.coalesce("file_path", F.lit(""))).rlike(r"\.(sql|ddl|psql|pgsql|plsql|tsql)(\.jinja)?$")
+    return resolved.join(r, "ref_id").select("ref_id", "source", F.col("node_id").alias("target"), F.col("edge_kind").alias("kind"), "line", meta.alias("metadata"), F.when(embedded, "embedded").otherwise("").alias("provenance"))
+
+
+def all_candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ref_id, node_id, score of the candidates of every strategy, each once with its greatest score."""
+    c = by_name(refs, nodes).unionByName(by_path(refs, nodes)).select("ref_id", "node_id", "score")
+    return c.union(candidates_fuzzy(refs, nodes).select("ref_id", "node_id", "score")).groupBy("ref_id", "node_id").agg(F.max("score").alias("score"))
+
+
 def best_exact(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _best(candidates_exact(refs, nodes))
 
@@ -171,19 +252,49 @@ def string_match(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.filter(F.col("kind").isin(*SQL_KINDS)).select(F.lower("name").alias("k"), F.col("id").alias("target"))
     per = n.groupBy("k").agg(F.count("*").alias("n")).filter("n <= 3")  # an ambiguous name, however frequent, ends here
     hit = r.withColumn("k", F.lower("reference_name")).join(per, "k").join(n, "k")
-    verb = F.lower(F.coalesce(simple_name(F.col("callee_expr")), F.lit(""))).isin(*BUILDER_VERBS)
+    verb = F.lower(F.coalesce(simple_name(F.col("callee_expr")), F.lit(""))).isin(*sorted(BUILDER_VERBS))
     return hit.select(F.col("id").alias("ref_id"), F.col("from_node_id").alias("source"), "target", tier(verb, F.col("reference_kind") == "sql_fragment").alias("confidence"))
 
 
-def column_match(refs: DataFrame, nodes: DataFrame, contains: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Bare column names in string references, only within tables that the same owner already touches (anchors:
-    source, target), if one to three match."""
-    r = refs.filter(F.col("reference_kind").isin("sql_string", "sql_fragment") & F.col("from_node_id").isNotNull() & ~F.col("reference_name").contains("."))
-    cols = contains.select(F.col("source").alias("table_id"), F.col("target").alias("col_id")).join(nodes.filter("kind = 'column'").select(F.col("id").alias("col_id"), F.lower("name").alias("k")), "col_id")
-    own = anchors.select(F.col("source").alias("from_node_id"), F.col("target").alias("table_id")).distinct().join(cols, "table_id")
-    hit = r.withColumn("k", F.lower("reference_name")).join(own, ["from_node_id", "k"]).select("id", "col_id").distinct()
-    few = hit.groupBy("id").agg(F.count("*").alias("n")).filter("n <= 3").select("id")
-    return hit.join(few, "id").select(F.col("id").alias("ref_id"), F.col("col_id").alias("target"))
+def column_match(refs: DataFrame, nodes: DataFrame, pass_a: DataFrame) -> DataFrame:
+    """(ref_id, target, confidence): `x.y` names a column y of a table or view x, if one to three are called x; a bare
+    name left over by pass A (ref_id, source, target) is a column of the tables and views that the same owner reaches there."""
+    r = refs.filter(F.col("reference_kind").isin("sql_string", "sql_fragment") & F.col("from_node_id").isNotNull())
+    tables = nodes.filter("kind in ('table', 'view')").select(F.col("id").alias("table_id"), F.lower("name").alias("x"), F.lower("qualified_name").alias("tq"))
+    cols = nodes.filter("kind = 'column'").select(F.col("id").alias("target"), F.lower("qualified_name").alias("cq"))
+    fragment = F.col("reference_kind") == "sql_fragment"
+    few = tables.groupBy("x").agg(F.count("*").alias("n")).filter("n <= 3").select("x")
+    dotted = r.filter(F.col("reference_name").contains(".")).withColumn("x", F.lower(F.substring_index("reference_name", ".", 1))).withColumn("y", F.lower(F.expr("substring(reference_name, locate('.', reference_name) + 1)")))
+    dotted = dotted.join(few, "x").join(tables, "x").withColumn("cq", F.concat_ws(".", "tq", "y")).join(cols, "cq")
+    dotted = dotted.select(F.col("id").alias("ref_id"), "target", F.when(fragment, "low").otherwise("medium").alias("confidence"))
+    anchors = pass_a.select(F.col("source").alias("from_node_id"), F.col("target").alias("table_id")).distinct().join(tables.select("table_id", "tq"), "table_id")
+    bare = r.filter(~F.col("reference_name").contains(".")).join(pass_a.select(F.col("ref_id").alias("id")).distinct(), "id", "left_anti")
+    bare = bare.join(anchors, "from_node_id").withColumn("cq", F.concat_ws(".", "tq", F.lower("reference_name"))).join(cols, "cq")
+    verb = F.lower(F.coalesce(simple_name(F.col("callee_expr")), F.lit(""))).isin(*sorted(BUILDER_VERBS))
+    bare = bare.select(F.col("id").alias("ref_id"), "target", F.when(verb & ~fragment, "medium").otherwise("low").alias("confidence"))
+    return dotted.union(bare).distinct()
+
+
+def string_refs_left(refs: DataFrame) -> DataFrame:
+    """References that stay after the string passes: consumed and left-over string references are all deleted."""
+    return refs.filter(~F.coalesce(F.col("reference_kind").isin("sql_string", "sql_fragment"), F.lit(False)))
+
+
+# Endings tried for a path without a known one, per language, in order ('' is the path as it stands); known ones.
+ENDINGS = {
+    "typescript": (".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts"), "javascript": (".js", ".jsx", "/index.js", "/index.jsx"), "python": (".py", "/__init__.py"), "go": ("", ".go"), "rust": (".rs", "/mod.rs"), "java": (".java", "/package-info.java"),
+    "kotlin": (".kt", ".kts"), "scala": (".scala", "/package.scala"), "ruby": (".rb", "/index.rb"), "php": (".php", "/index.php"), "swift": (".swift",),
+}
+OTHER_ENDINGS = (".ts", ".js", ".py", ".go", ".rs")
+KNOWN_ENDINGS = r"\.(ts|tsx|js|jsx|py|go|rs|java|kt|scala|rb|php|swift|c|cpp|h|cs|lua|dart)$"
+
+
+def candidate_paths(base: Column, language: Column) -> Column:
+    """The paths to try for a base, in order."""
+    out = F.transform(F.array(*[F.lit(e) for e in OTHER_ENDINGS]), lambda e: F.concat(base, e))
+    for lang, ends in ENDINGS.items():
+        out = F.when(language == lang, F.transform(F.array(*[F.lit(e) for e in ends]), lambda e: F.concat(base, e))).otherwise(out)
+    return F.when(base.rlike(KNOWN_ENDINGS), F.array(base)).otherwise(out)
 
 
 def npm_package(spec: Column) -> Column:
