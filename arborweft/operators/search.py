@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborweft.functions.text import osa_udf, path_depth
+from arborweft.sources.tables import Scratch
 
 # Search bonus per kind; kinds and languages a filter may name; weights of the searched columns; BM25.
 KIND_BONUS = {
@@ -173,12 +174,45 @@ def filters_only(nodes: DataFrame, q: Query, limit: int | None = 20) -> DataFram
 
 
 def search(nodes: DataFrame, raw: str, limit: int = 20) -> DataFrame:
-    """The first tier that finds anything (Q14, Q15); a blank query finds nothing."""
+    """The first tier that finds anything (Q14, Q15); a blank query finds nothing. The nodes are written once for all tiers,
+    and the tier that is asked is written before it is looked at, so no tier runs twice."""
     q = Query.parse(raw)
     if not q.text:
         return filters_only(nodes, q, limit) if q.filtered else filters_only(nodes.limit(0), q, limit)
+    scratch = Scratch(nodes.sparkSession, "search")
+    nodes = scratch.write(nodes)
     for tier in (lambda: fts(nodes, q, raw, limit), lambda: like(nodes, q, limit)):
-        found = tier()
+        found = scratch.write(tier())
         if not found.isEmpty():
             return found
     return fuzzy(nodes, q, limit)
+
+
+def members_search(nodes: DataFrame, text: str, only: tuple = (), exclude: tuple = (), limit: int = 5) -> DataFrame:
+    """Q17, M2, M3: member, id, name, score, rn: the ranked search of each member on its own (`member` is a column of nodes), all
+    in one job: corpus numbers are counted per member, `only` wins over `exclude`."""
+    from pyspark.sql import Window
+
+    n = nodes.filter(F.col("member").isin(*only)) if only else nodes.filter(~F.col("member").isin(*exclude)) if exclude else nodes
+    words = n
+    for c in WEIGHTS:
+        words = words.withColumn(f"t_{c}", _tokens(c))
+    parts = [p for p in ([w.lower() for w in _split(t)] for t in text.replace("::", " ").split()) if p]
+    words = words.withColumn("len_", sum((F.size(f"t_{c}") for c in WEIGHTS), F.lit(0)))
+    for i, p in enumerate(parts):
+        words = words.withColumn(f"tf_{i}", sum((F.lit(w) * _hits(f"t_{c}", p) for c, w in WEIGHTS.items()), F.lit(0.0))).withColumn(f"has_{i}", sum((_hits(f"t_{c}", p) for c in WEIGHTS), F.lit(0)) > 0)
+    stats = words.groupBy("member").agg(F.count("*").alias("n_"), F.avg("len_").alias("avg_"), *[F.sum(F.col(f"has_{i}").cast("long")).alias(f"df_{i}") for i in range(len(parts))])
+    any_ = F.lit(False)
+    for i in range(len(parts)):
+        any_ = any_ | F.col(f"has_{i}")
+    j = words.filter(any_).join(stats, "member")
+    score = F.lit(0.0)
+    for i in range(len(parts)):
+        df, tf = F.col(f"df_{i}"), F.col(f"tf_{i}")
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("n_") - df + 0.5) / (df + 0.5)))
+        score = score + F.when(F.col(f"has_{i}"), idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len_") / F.col("avg_")))).otherwise(0.0)
+    score = score + kind_bonus(F.col("kind")) + path_relevance(F.col("file_path")) + name_bonus(F.col("name"), text)
+    if "test" not in text.lower():
+        score = score - F.when(in_test_file(F.col("file_path")), 15.0).otherwise(0.0)
+    z = j.select("member", "id", "name", F.round(score, 6).alias("score"))
+    return z.withColumn("rn", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "id")).cast("long")).filter(F.col("rn") <= limit)

@@ -65,41 +65,6 @@ def python_symbols_query(s, d):
     return out.withColumn("id", model.node_id(F.col("path"), F.col("kind"), F.col("qualified_name"), F.col("start_line")))
 
 
-# Sample handlers per web framework, and the pattern that finds a route in each.
-ROUTE_TEXTS = (
-    ("express", "app.get('/users/:id', showUser)"), ("express", "router.post(\"/users\", createUser)"), ("gin", 'r.GET("/ping", Ping)'), ("chi", 'r.Get("/items", ListItems)'), ("flask", "@app.route('/home')\ndef home():"), ("fastapi", '@router.get("/health")\nasync def health():'),
-    ("spring", '@GetMapping("/api/v1")\npublic String index() {'), ("rails", "get '/login', to: 'sessions#new'"), ("laravel", "Route::get('/x', 'XController@show')"), ("axum", '.route("/a", get(handler_a))'), ("phoenix", 'get "/p", PageController, :index'), ("none", "map.get('key')"),
-)
-ROUTE_RULES = {
-    "express": r"""\b(?:app|router)\.(get|post|put|patch|delete)\(\s*['"](/[^'"]*)['"]\s*,\s*([A-Za-z_][\w.]*)""",
-    "gin": r"""\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*"(/[^"]*)"\s*,\s*([A-Za-z_][\w.]*)""",
-    "chi": r"""\b\w+\.(Get|Post|Put|Patch|Delete)\(\s*"(/[^"]*)"\s*,\s*([A-Za-z_][\w.]*)""",
-    "flask": r"""@\w+\.(route)\(\s*['"](/[^'"]*)['"][^)]*\)\s*\n\s*(?:async\s+)?def\s+(\w+)""",
-    "fastapi": r"""@\w+\.(get|post|put|patch|delete)\(\s*['"](/[^'"]*)['"][^)]*\)\s*\n\s*(?:async\s+)?def\s+(\w+)""",
-    "spring": r"""@(Get|Post|Put|Patch|Delete|Request)Mapping\(\s*"(/[^"]*)"\s*\)\s*\n\s*(?:public\s+)?[\w<>]+\s+(\w+)""",
-    "rails": r"""\b(get|post|put|patch|delete)\s+'(/[^']*)'\s*,\s*to:\s*'([\w#/]+)'""",
-    "laravel": r"""Route::(get|post|put|patch|delete)\(\s*'(/[^']*)'\s*,\s*'([\w@\\]+)'""",
-    "axum": r"""\.(route)\(\s*"(/[^"]*)"\s*,\s*(?:get|post|put|patch|delete)\(\s*(\w+)""",
-    "phoenix": r"""\b(get|post|put|patch|delete)\s+"(/[^"]*)"\s*,\s*([\w.]+)""",
-}
-_q = lambda t: t.replace("'", "''")
-
-
-@query(
-    "framework_routes",
-    "WITH t(n, q) AS (VALUES " + ", ".join(f"({i}, '{_q(t)}')" for i, (_, t) in enumerate(ROUTE_TEXTS)) + "), h AS (" + " UNION ALL ".join(f"SELECT n, '{k}' AS framework, unnest(list_zip(regexp_extract_all(q, '{_q(p)}', 1), regexp_extract_all(q, '{_q(p)}', 2), regexp_extract_all(q, '{_q(p)}', 3))) AS z FROM t" for k, p in ROUTE_RULES.items()) + ") SELECT n, framework, upper(z[1]) AS verb, z[2] AS route, z[3] AS handler FROM h",
-)
-def framework_routes(s, d):
-    """Routes and handlers by one pattern per framework, all in one expression per text. The stored texts hold no
-    routes, so the query runs on fixed samples; `routes` takes any (n, q)."""
-    return routes(s.createDataFrame([(i, t) for i, (_, t) in enumerate(ROUTE_TEXTS)], "n int, q string"))
-
-
-def routes(texts):
-    hit = lambda k, p: F.transform(F.arrays_zip(*[F.regexp_extract_all("q", F.lit(p), F.lit(i)).alias(c) for i, c in ((1, "v"), (2, "r"), (3, "h"))]), lambda z: F.struct(F.lit(k).alias("framework"), F.upper(z["v"]).alias("verb"), z["r"].alias("route"), z["h"].alias("handler")))
-    return texts.select("n", F.explode(F.flatten(F.array(*[hit(k, p) for k, p in ROUTE_RULES.items()]))).alias("x")).select("n", "x.*")
-
-
 _NAMED = "name LIKE 'rotate%'"
 
 

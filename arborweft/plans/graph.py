@@ -47,16 +47,25 @@ _ROW = ("id", "kind", "name", "qualified_name", "file_path", "language", "start_
 _COLS = ", ".join(_ROW)
 
 
+def _latest_of(s, d, keep, cols: tuple) -> DataFrame:
+    """The latest rows that pass a filter. Ids of which any version passes come first, by a filtered scan; only their versions
+    are aggregated, and the filter is asked again of the latest."""
+    names = [c for c in cols if c != "id"]
+    ids = load(s, d, "nodes").filter(keep & F.col("id").isNotNull()).select("id").distinct()
+    some = load(s, d, "nodes").select("id", *names, "updated_at").join(ids, "id", "left_semi")
+    return model.latest(some, "id", "updated_at", ["id", *names]).filter(keep).select(*cols)
+
+
 @query("nodes_by_kind", sql(f"SELECT {_COLS} FROM n WHERE kind = 'table'"))
 def nodes_by_kind(s, d):
     """D3: the tables among the nodes."""
-    return model.nodes(s, d, *_ROW).filter("kind = 'table'")
+    return _latest_of(s, d, F.col("kind") == "table", _ROW)
 
 
 @query("nodes_by_name", sql("SELECT id, kind, name FROM n WHERE lower(name) = 'limit'"))
 def nodes_by_name(s, d):
     """Case-insensitive lookup by name."""
-    return model.nodes(s, d, "id", "kind", "name").filter(F.lower("name") == "limit")
+    return _latest_of(s, d, F.lower("name") == "limit", ("id", "kind", "name"))
 
 
 @query("nodes_by_ids", sql("SELECT id, kind, name FROM n WHERE id IN (SELECT target FROM e WHERE kind = 'extends')"))
@@ -77,7 +86,7 @@ def node_point(s, d):
 def nodes_in_file(s, d):
     """The nodes of one file."""
     first = load(s, d, "nodes").filter("kind = 'method'").agg(F.min("file_path")).first()[0]
-    return model.nodes(s, d, "id", "name", "start_line", "file_path").filter(F.col("file_path") == first).drop("file_path")
+    return _latest_of(s, d, F.col("file_path") == first, ("id", "name", "start_line", "file_path")).drop("file_path")
 
 
 @query("edges_by_source", sql("SELECT e.id, source, target, kind FROM e WHERE source IN (SELECT id FROM nodes WHERE kind = 'table')"))
@@ -473,3 +482,61 @@ def index_upsert_guard(s, d):
     ids = Scratch(s, "ids").write(load(s, d, "nodes").filter("id is not null").select("id").distinct())
     e = model.edges(s, d, "source", "target")
     return e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("id")
+
+
+# --- further reads of the graph ---------------------------------------------------------------------------------------
+
+
+def walk(s, d, starts: DataFrame, direction: str, kinds: tuple | None, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges within `depth` (0: all) of the starts (origin, id), outgoing or incoming, over the kinds (None: all)."""
+    if direction not in ("outgoing", "incoming"):
+        raise ValueError(f"direction must be outgoing or incoming, not {direction!r}")
+    return traverse.bfs(_stored(s, d), starts, depth, direction == "incoming", kinds)
+
+
+@query("traverse_kinds", sql(f", st AS {_BASE}, w(id, d) AS (SELECT id, 0 FROM st UNION SELECT e.source, w.d + 1 FROM w JOIN e ON e.target = w.id AND e.kind IN ('extends', 'calls') AND w.d < 2 WHERE e.source IS NOT NULL) SELECT id AS node_id, min(d) AS depth FROM w GROUP BY id"))
+def traverse_kinds(s, d):
+    """Two levels of incoming extends and calls edges. Unlike the reference's entry, the edge kinds are honoured."""
+    got, _ = walk(s, d, _base(_stored(s, d)), "incoming", ("extends", "calls"), 2)
+    return got.select(F.col("id").alias("node_id"), "depth")
+
+
+_IS_TEST = "(ends_with(b, '_test.go') OR contains(b, '.test.') OR contains(b, '.spec.') OR starts_with(b, 'test_') OR regexp_matches(b, '_test(\\.[^.]*)?$'))"
+
+
+@query("test_files", sql(f"SELECT path, {_IS_TEST} AS is_test FROM (SELECT path, string_split(path, '/')[-1] AS b FROM f)"))
+def test_files(s, d):
+    """Which files are tests by their base name."""
+    return model.files(s, d, "path", "language").select("path", is_test(F.col("path")).alias("is_test"))
+
+
+test_files.__test__ = False
+
+
+@query("callers_limited", sql(f", st AS {_CALLED}, w(id, d) AS (SELECT id, 0 FROM st UNION SELECT e.source, w.d + 1 FROM w JOIN e ON e.target = w.id AND {_CALL} AND w.d < 2 WHERE e.source IS NOT NULL), lv AS (SELECT DISTINCT id FROM w WHERE id NOT IN (SELECT id FROM st)) SELECT n.id, n.kind, n.name FROM lv JOIN n ON n.id = lv.id ORDER BY n.id LIMIT 20"))
+def callers_limited(s, d):
+    """Callers to depth 2, the first 20 by id (the cut is the feature)."""
+    e = _stored(s, d)
+    got, _ = traverse.bfs(e, _called(e), 2, True, traverse.CALL_KINDS)
+    ids = Scratch(s, "callers").write(got.filter("depth > 0").select("id").distinct())
+    # the latest rows of these ids only
+    n = load(s, d, "nodes").select("id", "kind", "name", "updated_at").join(ids, "id", "left_semi")
+    return model.latest(n, "id", "updated_at", ["id", "kind", "name"]).orderBy("id").limit(20)
+
+
+@query("callee_trail", sql("SELECT source AS id, target AS callee, rn, dynamic FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS rn, dynamic FROM (SELECT source, target, bool_or(coalesce(provenance, '') IN ('heuristic', 'string-match')) AS dynamic FROM e WHERE kind = 'calls' AND source IN (SELECT id FROM nodes WHERE kind IN ('function', 'method')) AND target IS NOT NULL GROUP BY 1, 2)) WHERE rn <= 12"))
+def callee_trail(s, d):
+    """The first 12 callees of each symbol by id, the other half of node_trail."""
+    from pyspark.sql import Window
+
+    sym = load(s, d, "nodes").filter("kind in ('function', 'method')").select(F.col("id").alias("source")).distinct()
+    e = load(s, d, "edges").filter("kind = 'calls' and target is not null").join(sym, "source", "left_semi")
+    pair = e.groupBy("source", "target").agg(F.max(F.coalesce("provenance", F.lit("")).isin("heuristic", "string-match")).alias("dynamic"))
+    rn = pair.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("target"))).filter("rn <= 12")
+    return rn.select(F.col("source").alias("id"), F.col("target").alias("callee"), F.col("rn").cast("long").alias("rn"), "dynamic")
+
+
+@query("sql_types", sql("SELECT id, kind, name FROM n WHERE language = 'sql' AND kind IN ('type_alias', 'enum')"))
+def sql_types(s, d):
+    """V3: types of SQL texts (type aliases; the stored graph calls some of them enum)."""
+    return model.nodes(s, d, "id", "kind", "name", "language").filter("language = 'sql' and kind in ('type_alias', 'enum')").select("id", "kind", "name")

@@ -101,33 +101,67 @@ def kind_bonus(s, d):
     return n.groupBy("kind").agg(F.any_value(op.kind_bonus(F.col("kind"))).alias("bonus"), F.count("*").alias("n"), F.round(F.sum(op.path_relevance(F.col("file_path"))), 6).alias("relevance"), F.sum(op.in_test_file(F.col("file_path")).cast("long")).alias("n_test"))
 
 
-@query("federated_search", sql(f", m AS (SELECT *, split_part(file_path, '/', 1) AS member FROM n WHERE contains(lower(name), 'roster') AND split_part(file_path, '/', 1) <> 'aldermoor'), z AS (SELECT member, id, name, round({_BONUS} + {_PATHREL}, 6) AS score FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY score DESC, id) AS rn FROM z) SELECT members.member, id, name, score, rn FROM members LEFT JOIN k ON k.member = members.member AND rn <= 5 WHERE members.member <> 'aldermoor'"))
+_FED = "roster"
+
+
+def _federated_sql() -> str:
+    w = op.WEIGHTS
+    tok = ", ".join(f"{_toks(c)} AS t_{c}" for c in w)
+    hits = lambda c: f"len(list_filter(t_{c}, lambda t: starts_with(t, '{_FED}')))"
+    return sql(f""", a AS (SELECT *, split_part(file_path, '/', 1) AS member, {tok} FROM n WHERE split_part(file_path, '/', 1) <> 'aldermoor'),
+b AS (SELECT *, {" + ".join(f"len(t_{c})" for c in w)} AS len, {" + ".join(f"{v} * {hits(c)}" for c, v in w.items())} AS tf, ({" + ".join(hits(c) for c in w)}) > 0 AS has FROM a),
+st AS (SELECT member, count(*) AS n, avg(len) AS av, count(*) FILTER (has) AS df FROM b GROUP BY member),
+z AS (SELECT b.member, id, name, round(greatest(1e-6, ln((st.n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)) + {_BONUS} + {_PATHREL} + {_named(_FED)} - CASE WHEN {_TEST} THEN 15.0 ELSE 0.0 END, 6) AS score FROM b JOIN st ON st.member = b.member WHERE has),
+k AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY score DESC, id) AS rn FROM z)
+SELECT members.member, id, name, score, rn FROM members LEFT JOIN k ON k.member = members.member AND rn <= 5 WHERE members.member <> 'aldermoor'""")
+
+
+@query("federated_search", _federated_sql())
 def federated_search(s, d):
-    """Q17, M1-M3: the best five per member (the cut is the feature) in one job; members without a hit keep a row of nulls."""
-    n = model.nodes(s, d, "id", "kind", "name", "file_path").withColumn("member", F.substring_index("file_path", "/", 1)).filter(F.lower("name").contains("roster") & (F.col("member") != "aldermoor"))
-    z = n.select("member", "id", "name", F.round(op.kind_bonus(F.col("kind")) + op.path_relevance(F.col("file_path")), 6).alias("score"))
-    k = z.withColumn("rn", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "id"))).filter("rn <= 5").withColumn("rn", F.col("rn").cast("long"))
+    """Q17, M2, M3: the ranked search of every member (the best five; the cut is the feature) in one job; members without a hit
+    keep a row of nulls."""
+    n = _nodes(s, d).withColumn("member", F.substring_index("file_path", "/", 1))
+    k = op.members_search(n, _FED, exclude=("aldermoor",))
     return load(s, d, "members").select("member").filter("member <> 'aldermoor'").join(k, "member", "left")
 
 
-@query("line_grep", "SELECT path, line_no, trim(substr(line, 1, 120), chr(9) || ' ' || chr(13)) AS snippet FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM source_texts WHERE content IS NOT NULL) WHERE contains(lower(line), 'callers must hold') ORDER BY path, line_no LIMIT 50")
+_GREP = "callers must hold"
+
+
+@query("line_grep", f"SELECT path, line_no, decode(encode(trim(line, chr(9) || ' ' || chr(13)))[1:120]) AS snippet, n > 50 AS truncated FROM (SELECT path, line, line_no, count(*) OVER () AS n FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM source_texts WHERE content IS NOT NULL) WHERE contains(lower(line), '{_GREP}') ORDER BY path, line_no LIMIT 50)")
 def line_grep(s, d):
-    """Q16: lines that hold a text in any letter case, the first 50 by path and line (the cap is the feature). The file is
-    tested before it is split into lines."""
-    t = load(s, d, "source_texts").filter(F.lower("content").contains("callers must hold")).select("path", F.posexplode(F.split("content", "\n")).alias("i", "line"))
-    hit = t.filter(F.lower("line").contains("callers must hold"))
-    return hit.select("path", (F.col("i") + 1).cast("long").alias("line_no"), F.trim(F.substring("line", 1, 120), F.lit("\t \r")).alias("snippet")).orderBy("path", "line_no").limit(50)
+    """Q16: lines that hold a text in any letter case, the first 50 by path and line (the cap is the feature) with the flag that
+    more were found; snippets are trimmed, then cut to 120 bytes. The file is tested before it is split into lines."""
+    t = load(s, d, "source_texts").filter(F.lower("content").contains(_GREP)).select("path", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    hit = t.filter(F.lower("line").contains(_GREP))
+    some = hit.orderBy("path", "i").limit(51)  # one more than the cap tells that there are more
+    n = some.count()
+    cut = F.decode(F.substring(F.encode(F.trim("line", F.lit("\t \r")), "UTF-8"), 1, 120), "UTF-8")
+    return some.orderBy("path", "i").limit(50).select("path", (F.col("i") + 1).cast("long").alias("line_no"), cut.alias("snippet"), F.lit(n > 50).alias("truncated"))
 
 
 # --- context (X1-X6), call chains and flow (G27, G28) ------------------------------------------------------------------
 
-_SEEDS = sql("SELECT id, kind, name, file_path FROM n WHERE contains(lower(name), 'rotate') ORDER BY id LIMIT 20")
+CONTEXT = "rotate token"
+
+
+def _seeds_sql() -> str:
+    one = _fts_sql(CONTEXT)
+    by_name = f"SELECT id FROM (SELECT id, round({_BONUS} + {_PATHREL} + CASE WHEN coalesce(is_exported, false) THEN 1.0 ELSE 0.0 END + {_named(CONTEXT)}, 6) AS score FROM n WHERE contains(lower(name), '{CONTEXT}') ORDER BY score DESC, id LIMIT 20)"
+    return one, by_name
+
 
+_FTS_SEEDS, _NAME_SEEDS = _seeds_sql()
+_HEAD, _SEP, _TAIL_SQL = _FTS_SEEDS.rpartition("SELECT * FROM z")
+_ST = f"{_HEAD.rstrip()}, hit AS (SELECT id FROM z{_TAIL_SQL}), nm AS ({_NAME_SEEDS}), sd AS (SELECT id FROM hit UNION SELECT id FROM nm)"
 
-@query("context_seeds", _SEEDS)
+
+@query("context_seeds", f"{_ST} SELECT n.id, n.kind, n.name, n.file_path FROM n JOIN sd ON sd.id = n.id")
 def context_seeds(s, d):
-    """Seed symbols of a context: search hits by name, the first 20 (the cut is the feature)."""
-    return model.nodes(s, d, "id", "kind", "name", "file_path").filter(F.lower("name").contains("rotate")).orderBy("id").limit(20)
+    """Seed symbols of a context: the search for the text, and for names that hold it."""
+    n = Scratch(s, "nodes").write(_nodes(s, d))
+    hit = op.search(n, CONTEXT).select("id").union(op.filters_only(n, op.Query(name=CONTEXT)).select("id")).distinct()
+    return n.join(hit, "id", "left_semi").select("id", "kind", "name", "file_path")
 
 
 @query("edge_dedup_provenance", sql("SELECT source, target, kind, id, coalesce(provenance, '') AS provenance FROM e QUALIFY row_number() OVER (PARTITION BY source, target, kind ORDER BY CASE WHEN provenance = 'heuristic' THEN 0 ELSE 1 END, id) = 1"))
@@ -148,9 +182,9 @@ def context_nodes(s, d):
     return lab(down, 1).union(lab(up, 2)).groupBy("id").agg(F.min("label").alias("label"))
 
 
-@query("context_labels", sql(f""", st AS (SELECT id FROM n WHERE contains(lower(name), 'rotate') ORDER BY id LIMIT 20), dn(o, id, d) AS (SELECT id, id, 0 FROM st UNION SELECT o, e.target, d + 1 FROM dn JOIN e ON e.source = dn.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.target IS NOT NULL),
-up(o, id, d) AS (SELECT id, id, 0 FROM st UNION SELECT o, e.source, d + 1 FROM up JOIN e ON e.target = up.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.source IS NOT NULL)
-SELECT id, min(label) AS label FROM (SELECT id, CASE WHEN d = 0 THEN 0 ELSE 1 END AS label FROM dn UNION ALL SELECT id, CASE WHEN d = 0 THEN 0 ELSE 2 END FROM up) GROUP BY id"""))
+@query("context_labels", f"""{_ST}, dn(o, id, d) AS (SELECT id, id, 0 FROM sd UNION SELECT o, e.target, d + 1 FROM dn JOIN e ON e.source = dn.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.target IS NOT NULL),
+up(o, id, d) AS (SELECT id, id, 0 FROM sd UNION SELECT o, e.source, d + 1 FROM up JOIN e ON e.target = up.id AND e.kind IN ('calls', 'references', 'imports') WHERE d < 2 AND e.source IS NOT NULL)
+SELECT id, min(label) AS label FROM (SELECT id, CASE WHEN d = 0 THEN 0 ELSE 1 END AS label FROM dn UNION ALL SELECT id, CASE WHEN d = 0 THEN 0 ELSE 2 END FROM up) GROUP BY id""")
 def context_labels(s, d):
     return context_nodes(s, d)
 
@@ -186,6 +220,22 @@ def diversity_cap(s, d):
     return few.coalesce(1).sortWithinPartitions("label", "id").mapInArrow(_capped(5, 8), "id string, label int, kind string, file_path string")
 
 
+@query("context_pack")
+def context_pack(s, d):
+    """What a context shows: the nodes that the caps leave, the edges between them (once per source, target and kind,
+    heuristic ones first) in fixed order as one JSON row each, and whether the caps took anything away."""
+    nodes = Scratch(s, "labels").write(context_nodes(s, d))
+    kept = Scratch(s, "kept").write(diversity_cap(s, d).select("id", "label"))
+    cut = kept.count() < nodes.count()
+    e = load(s, d, "edges").select("id", "source", "target", "kind", "provenance")
+    e = e.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
+    e = e.groupBy("source", "target", "kind").agg(F.min(F.struct(F.when(F.col("provenance") == "heuristic", 0).otherwise(1).alias("o"), "id", F.coalesce("provenance", F.lit("")).alias("provenance"))).alias("m"))
+    edges = e.select(F.lit("edge").alias("part"), F.concat_ws(">", "source", "target", "kind").alias("key"), F.to_json(F.struct("source", "target", "kind", F.col("m.provenance").alias("provenance"))).alias("json"))
+    n = model.latest(load(s, d, "nodes").join(kept.select("id"), "id", "left_semi"), "id", "updated_at", ["id", "kind", "name", "file_path"]).join(kept, "id")
+    nodes = n.select(F.lit("node").alias("part"), F.col("id").alias("key"), F.to_json(F.struct("id", "kind", "name", "file_path", "label")).alias("json"))
+    return nodes.union(edges).withColumn("truncated", F.lit(cut)).orderBy(F.desc("part"), "key")
+
+
 @query(
     "call_chains",
     sql(f""", st AS {_CALLER}, c AS (SELECT DISTINCT source, target FROM e WHERE kind = 'calls' AND target NOT LIKE 'package:%' AND source IS NOT NULL), w(chain, id, n, looped) AS (SELECT [id], id, 1, false FROM st UNION ALL

@@ -58,8 +58,8 @@ def who(env: DataFrame, now: int | None = None) -> DataFrame:
 
 
 def last_wins(env: DataFrame) -> DataFrame:
-    """The last of the envelopes that share an id, here by room and sender: the last message of each member."""
-    return env.groupBy("room", "sender").agg(F.max(F.struct("ts", "id", "text")).alias("m")).select("room", "sender", "m.id", "m.ts", "m.text")
+    """Of the envelopes that share an id the last one in the log (ties: the greatest text); null ids are no envelopes."""
+    return env.filter("id is not null").groupBy("id").agg(F.max(F.struct("ts", "text", "room", "sender")).alias("m")).select("id", "m.room", "m.sender", "m.ts", "m.text")
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +87,23 @@ def halted(env: DataFrame) -> DataFrame:
     srt = env.select(*keys, "control").repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     rows = scratch.write(srt.select("part", "room", "ts", "id", "control").mapInArrow(_carry, "part int, room string, ts long, id long, control string, seen string"))
     ends = rows.groupBy("room", "part").agg(F.max(F.when(F.col("seen").isNotNull(), F.struct("ts", "id", "seen"))).alias("m")).groupBy("room").agg(F.array_sort(F.collect_list(F.struct("part", F.col("m.seen").alias("seen")))).alias("ends"))
-    before = F.element_at(F.filter("ends", lambda x: (x["part"] < F.col("part")) & x["seen"].isNotNull()), -1)
     cut = ends.select("room", F.explode(F.transform("ends", lambda e: e["part"])).alias("part"), "ends").select("room", "part", F.try_element_at(F.filter("ends", lambda x: (x["part"] < F.col("part")) & x["seen"].isNotNull()), F.lit(-1))["seen"].alias("earlier"))
-    del before
-    j = rows.join(F.broadcast(cut), ["room", "part"], "left")
+    j = rows.join(cut, ["room", "part"], "left")
     return j.select("id", "room", (F.coalesce("seen", "earlier") == "halt").alias("h")).select("id", "room", F.coalesce("h", F.lit(False)).alias("halted"))
 
 
 def addressees(env: DataFrame) -> DataFrame:
     """(id, named, resolved, outcome) per addressed name: an exact member of the room, else the only member whose name
     holds it, else passed through; several make the message ambiguous. Members are distinct per room; names meet them by
-    an equi-join on room and every substring of the member's name."""
+    an equi-join on room and the parts of the member's name that have the length of a name asked for there."""
     ask = env.filter(F.size("recipients") > 0).select("id", "room", F.explode("recipients").alias("named"))
     m = env.select("room", F.col("sender").alias("member")).filter("member is not null").distinct()
+    # only parts as long as some name that is asked for in the room
+    sizes = ask.select("room", F.length("named").alias("n")).distinct().groupBy("room").agg(F.collect_set("n").alias("sizes"))
+    m = m.join(sizes, "room")
     n = F.length("member")
-    subs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("member"), i, k)))))
+    parts = lambda k: F.when((k > 0) & (k <= n), F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("member"), i, k))).otherwise(F.array().cast("array<string>"))
+    subs = F.array_distinct(F.flatten(F.transform("sizes", parts)))
     per = m.select("room", "member", F.explode(subs).alias("named")).groupBy("room", "named").agg(F.count("*").alias("n"), F.min("member").alias("only"), F.max((F.col("member") == F.col("named"))).alias("exact"))
     j = ask.join(per, ["room", "named"], "left")
     out = F.when(F.col("exact"), "exact").when(F.col("n") == 1, "unique").when(F.col("n") > 1, "ambiguous").otherwise("passed")
@@ -121,11 +123,27 @@ def write_log(env: DataFrame, folder: str) -> None:
     env.write.mode("append").json(folder)
 
 
-def run(df: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
-    """Process everything there is and return what the sink holds."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(df: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Process everything there is and return what the sink holds, as a table in the shared folder.
+
+    Each micro-batch is written under its number, so a batch that is tried again replaces itself. In complete mode the last
+    batch is the result; in append mode all of them are. Started again on the same folder, it goes on from its checkpoint."""
+    spark = df.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    fields = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.schema(fields).parquet(f"{folder}/out")
+    if mode == "complete":
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.filter(F.col("batch") == (-1 if last is None else last))
+    return out.drop("batch")
 
 
 def stream_rooms(env: DataFrame) -> DataFrame:
@@ -149,36 +167,13 @@ def stream_tail(env: DataFrame, sender: str | None = None) -> DataFrame:
     return out.filter(F.col("sender") == sender) if sender else out
 
 
-def _roster(key, batches, state):
-    """Membership of a room as keyed state: names by session; a taken name becomes name-2, a second clash is refused."""
-    import pandas as pd
-
-    taken = dict(zip(*state.get)) if state.exists else {}
-    for pdf in batches:
-        rows = []
-        for r in pdf.sort_values(["ts", "id"]).itertuples():
-            name = r.sender
-            if r.control == "leave":
-                taken = {n: s for n, s in taken.items() if s != r.text}
-                rows.append((key[0], r.id, name, "left"))
-                continue
-            mine = next((n for n, s in taken.items() if s == r.text), None)
-            if mine is None:
-                mine = next((n for n in (name, f"{name}-2") if n not in taken), None)
-            if mine is None:
-                rows.append((key[0], r.id, name, "refused"))
-                continue
-            taken[mine] = r.text
-            rows.append((key[0], r.id, mine, "joined"))
-        state.update((list(taken), list(taken.values())))
-        yield pd.DataFrame(rows, columns=["room", "id", "name", "outcome"])
-
-
-def stream_roster(env: DataFrame) -> DataFrame:
-    """Joins (text = session, sender = wanted name) and leaves of rooms. The state of a room is its roster, not its log."""
-    return env.groupBy("room").applyInPandasWithState(_roster, "room string, id long, name string, outcome string", "names array<string>, sessions array<string>", "append", "NoTimeout")
-
-
-def stream_changes(env: DataFrame, sink) -> DataFrame:
+def change_event(changed: DataFrame, key: str, most: int = 100) -> DataFrame:
+    """Per key the number of changed paths (key, path), and the list where there are no more than `most`."""
+    n = changed.groupBy(key).agg(F.count("*").alias("n_changed"))
+    few = changed.join(n.filter(F.col("n_changed") <= most).select(key), key).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+    return n.join(few, key, "left")
+
+
+def stream_changes(env: DataFrame, sink):
     """Hand each micro-batch's rooms to a function (exactly once per batch number)."""
     return env.writeStream.foreachBatch(lambda df, n: sink(n, rooms(df)))

@@ -9,7 +9,7 @@ from arborweft.functions.text import glob_regex, osa
 from arborweft.operators import resolve, search, traverse
 from arborweft.plans import links
 from arborweft.sources.tables import load
-from arborweft.streaming import bus
+from arborweft.streaming import bus, rooms
 from tests.conftest import rows
 
 
@@ -167,17 +167,44 @@ def test_stream_equals_batch(spark, data, tmp_path):
     bus.write_log(env, f"{tmp_path}/log")
     bus.write_log(env, f"{tmp_path}/log")  # sent again: ids repeat
     s = bus.stream(spark, f"{tmp_path}/log")
-    got = bus.run(bus.stream_unique(s).select("id", "room", "sender", "ts"), "uniq", f"{tmp_path}/c1", "append")
+    got = bus.run(bus.stream_unique(s).select("id", "room", "sender", "ts"), f"{tmp_path}/c1", "append")
     assert rows(got) == rows(env.select("id", "room", "sender", "ts"))
-    tail = bus.run(bus.stream_tail(s, "8").select("id"), "tail8", f"{tmp_path}/c2", "append")
+    tail = bus.run(bus.stream_tail(s, "8").select("id"), f"{tmp_path}/c2", "append")
     assert tail.distinct().count() == env.filter("size(recipients) > 0 and sender = '8'").count()
 
 
-def test_roster(spark, tmp_path):
-    rows_ = [(1, "r", "ann", 1, "s1", None, None), (2, "r", "ann", 2, "s2", None, None), (3, "r", "ann", 3, "s3", None, None), (4, "r", "bob", 4, "s1", None, None), (5, "r", "ann", 5, "s1", "leave", None), (6, "r", "ann", 6, "s3", None, None)]
-    spark.createDataFrame(rows_, bus.ENVELOPE).coalesce(1).write.json(f"{tmp_path}/log")
-    got = bus.run(bus.stream_roster(bus.stream(spark, f"{tmp_path}/log")), "roster", f"{tmp_path}/c", "append")
-    assert rows(got.select("id", "name", "outcome")) == [(1, "ann", "joined"), (2, "ann-2", "joined"), (3, "ann", "refused"), (4, "ann", "joined"), (5, "ann", "left"), (6, "ann", "joined")]
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """The log grows between two runs on one folder; running totals and the filter on repeats carry over."""
+    env = [(i, f"r{i % 3}", f"s{i % 5}", 100 + i, "t", None, ["a"]) for i in range(60)]
+    put = lambda part: bus.write_log(spark.createDataFrame(part, bus.ENVELOPE), f"{tmp_path}/log")
+    put(env[:30])
+    total = lambda: bus.run(bus.stream_rooms(bus.stream(spark, f"{tmp_path}/log")), f"{tmp_path}/total", "complete")
+    once = lambda: bus.run(bus.stream_unique(bus.stream(spark, f"{tmp_path}/log")).select("id"), f"{tmp_path}/once", "append")
+    assert rows(total()) == [("r0", 10, 127), ("r1", 10, 128), ("r2", 10, 129)] and once().count() == 30
+    put(env[20:])  # ten of them are sent again
+    assert rows(total()) == [("r0", 23, 157), ("r1", 23, 158), ("r2", 24, 159)]
+    assert sorted(r[0] for r in once().collect()) == list(range(60))
+
+
+OPS = [
+    (1, "r", 1, "join", "s1", "ann", "agent"), (2, "r", 2, "join", "s2", "ann", "agent"), (3, "r", 3, "join", "s3", "ann", "agent"), (4, "r", 4, "join", "s4", "system", "agent"), (5, "r", 5, "join", "s5", "bob", "robot"), (6, "r", 6, "join", "s1", "eve", "agent"), (7, "r", 7, "join", "s6", "hal", "human"),
+    (8, "r", 8, "send", "s1", None, None), (9, "r", 9, "send", "s9", None, None), (10, "r", 10, "halt", None, None, None), (11, "r", 11, "send", "s1", None, None), (12, "r", 12, "send", "s6", None, None), (13, "r", 13, "resume", None, None, None), (14, "r", 14, "send", "s1", None, None),
+    (15, "r", 613, "prune", None, None, None), (16, "r", 614, "end", None, "eve", None), (17, "r", 615, "subscribe", "s1", None, None), (18, "r", 616, "join", "s1", "ann", "agent"), (19, "r", 617, "subscribe", "s1", None, None), (20, "r", 618, "close", None, None, None), (21, "r", 619, "send", "s1", None, None), (22, "q", 1, "leave", "s1", None, None),
+]
+OUTCOMES = [
+    (1, "joined", "ann"), (2, "joined", "ann-2"), (3, "refused", "ann"), (4, "refused", "system"), (5, "refused", "bob"), (6, "joined", "eve"), (7, "joined", "hal"), (8, "sent", "eve"), (9, "refused", None), (10, "halted", "system"), (11, "refused", "eve"), (12, "sent", "hal"), (13, "resumed", "system"), (14, "sent", "eve"),
+    (15, "pruned", "ann-2"), (15, "pruned", "hal"), (16, "ended", "eve"), (17, "refused", None), (18, "joined", "ann"), (19, "subscribed", "ann"), (20, "closed", "system"), (21, "refused", None), (22, "refused", None),
+]
+
+
+@pytest.mark.parametrize("cut", [22, 9])
+def test_room_life(spark, tmp_path, cut):
+    """In one run, and with the operations after `cut` arriving later: the same outcomes, from the roster in the checkpoint."""
+    for part in (OPS[:cut], OPS[cut:]):
+        if part:
+            spark.createDataFrame(part, rooms.OPERATION).coalesce(1).write.mode("append").json(f"{tmp_path}/log")
+        got = bus.run(rooms.lifecycle(spark.readStream.schema(rooms.OPERATION).json(f"{tmp_path}/log")), f"{tmp_path}/s", "append")
+    assert sorted(((r["id"], r["outcome"], r["name"]) for r in got.collect()), key=str) == sorted(OUTCOMES, key=str)
 
 
 def test_halted_across_partitions(spark):
