@@ -134,7 +134,7 @@ def tree_counts(s, d):
 
 @query("bucket_diff", f"WITH b AS (SELECT source AS bucket, title, sha256(text) AS h, updated_at FROM documents WHERE source IS NOT NULL AND title IS NOT NULL), o AS (SELECT DISTINCT bucket, title, h FROM b WHERE updated_at < TIMESTAMP '{OLD_END}'), w AS (SELECT DISTINCT bucket, title, h FROM b WHERE updated_at >= TIMESTAMP '{NEW_START}') SELECT coalesce(o.bucket, w.bucket) AS bucket, sum(CASE WHEN o.h IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_added, sum(CASE WHEN w.h IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_removed, sum(CASE WHEN o.h = w.h THEN 1 ELSE 0 END)::BIGINT AS n_kept FROM o FULL JOIN w ON o.bucket = w.bucket AND o.title = w.title AND o.h = w.h GROUP BY 1")
 def bucket_diff(s, d):
-    """Per wiki bucket the pages added to, removed from and kept since the baseline manifest. One aggregation over
+    """Per wiki bucket the pages added to, removed from and kept since the baseline manifest. One aggregation over
     (bucket, title, hash) with two flags instead of a join."""
     t = load(s, d, "documents").filter("source is not null and title is not null").select(F.col("source").alias("bucket"), "title", F.sha2("text", 256).alias("h"), "updated_at")
     flag = lambda c: F.max(c.cast("int"))
@@ -163,7 +163,7 @@ def routines_rw(s, d):
 
 @query("metadata_lift", sql("SELECT id, TRY_CAST(json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.loc') AS BIGINT) AS loc, json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.scope') AS scope FROM n WHERE metadata IS NOT NULL"))
 def metadata_lift(s, d):
-    """V3, V4: fields of the JSON metadata; unreadable JSON gives nulls."""
+    """V4: fields of the JSON metadata; unreadable JSON gives nulls."""
     return model.nodes(s, d, "id", "metadata").filter("metadata is not null").select("id", F.get_json_object("metadata", "$.loc").try_cast("long").alias("loc"), F.get_json_object("metadata", "$.scope").alias("scope"))
 
 
@@ -195,7 +195,7 @@ def scan_filter(s, d):
 
 @query("prune_deleted", sql("SELECT f.path, f.language FROM f WHERE path NOT IN (SELECT path FROM source_texts WHERE content IS NOT NULL)"))
 def prune_deleted(s, d):
-    """Indexed paths without a text on disk."""
+    """Indexed paths without a text on disk."""
     return model.files(s, d, "path", "language").join(load(s, d, "source_texts").filter("content is not null").select("path"), "path", "left_anti").select("path", "language")
 
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,27 +47,6 @@ def markdown_links(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, nos, kinds, targets = [], [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for no, kind, target in markdown_links(t or ""):
-                ids.append(i)
-                nos.append(no)
-                kinds.append(kind)
-                targets.append(target)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(kinds), pa.array(targets)], names=["doc_id", "line_no", "kind", "target"])
-
-
-@query("page_links")
-def page_links(s, d):
-    """L1: the links of all pages. No SQL: fences and code spans need a state machine; tests use a hand fixture. Pages
-    without a bracket pair never leave the JVM."""
-    t = load(s, d, "documents").filter(F.col("text").contains("](") | F.col("text").contains("[[")).select("doc_id", "text")
-    return t.mapInArrow(_links, "doc_id long, line_no int, kind string, target string")
-
-
 _SPEC = r"""(?m)^import .*? from ['"]([^'"\n]+)['"]"""
 
 
@@ -142,7 +119,7 @@ _LIVE = "h AS (SELECT path, count(DISTINCT content_hash) > 1 AS moved FROM files
 
 @query("provenance_drift", sql(f", {_LIVE}, d AS (SELECT DISTINCT source, target, coalesce(h.moved, false) AS drift FROM e LEFT JOIN h ON 'file:' || h.path = e.source WHERE e.kind = 'imports' AND source LIKE 'file:%' AND target LIKE 'file:%'), z AS (SELECT source AS id, drift FROM d UNION ALL SELECT target, drift FROM d) SELECT id, bool_or(drift) AS drift FROM z GROUP BY id"))
 def provenance_drift(s, d):
-    """An edge drifts when its source's recorded hash is not its latest one; drift is passed to both ends."""
+    """An edge drifts when its source's recorded hash is not its latest one; drift is passed to both ends."""
     h = load(s, d, "files").filter("path is not null").groupBy("path").agg((F.min("content_hash") != F.max("content_hash")).alias("moved")).select(F.concat(F.lit("file:"), "path").alias("source"), "moved")
     e = load(s, d, "edges").filter("kind = 'imports' and source like 'file:%' and target like 'file:%'").select("source", "target").distinct()
     z = e.join(h, "source", "left").select(F.explode(F.array("source", "target")).alias("id"), F.coalesce("moved", F.lit(False)).alias("drift"))
@@ -160,7 +137,7 @@ def page_meta(s, d):
 
 @query("snapshot_fingerprint", sql("SELECT split_part(path, '/', 1) AS member, count(*) AS n, sum(CAST(CAST('0x' || substr(sha256(path || chr(9) || size || chr(9) || epoch_us(modified_at)), 1, 15) AS BIGINT) AS HUGEINT))::VARCHAR AS mark FROM f WHERE size IS NOT NULL AND modified_at IS NOT NULL GROUP BY 1"))
 def snapshot_fingerprint(s, d):
-    """One mark of the file set per member; it moves when any path, size or time does. Sums need no order."""
+    """One mark of the file set per member; it moves when any path, size or time does. Sums need no order."""
     f = model.files(s, d, "path", "size", "modified_at").filter("size is not null and modified_at is not null")
     h = F.conv(F.substring(F.sha2(F.concat_ws("\t", "path", F.col("size").cast("string"), F.unix_micros(F.col("modified_at").cast("timestamp")).cast("string")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return f.groupBy(F.substring_index("path", "/", 1).alias("member")).agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("mark"))
