@@ -36,8 +36,8 @@ _PREFIX = re.compile(r"\s*(?:>+|//+|#+(?=\s)|--|;|%|\|(?=\s)|@[\w.-]+:|\d+:(?=\s
 _HEAD = re.compile(r"\s*#{1,6}\s+\S|\s*={3,}\s*$|\s*-{3,}\s*$")
 _SET = re.compile(r"\s*[\w.\[\]()-]+\s*(?:=|->|=>|:=|→)\s*\S")
 _KEYED = re.compile(r"\s*[\w.\[\]-]+\s*(?:=|->|=>|:=|→|:\s)|\s*[\w.]+\(\)?\s*->")
-_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèêâîôûœæ]", re.I)
-_ODD = frozenset("¤¢£¥¦§©®±¶¹²³¼½¾¿€™¬�")  # signs that wrongly decoded text is full of
+_VOWELS = frozenset("aeiouyäöüáéíóúàèêâîôûœæ")  # words are in lower case
+_ODD = re.compile("[¤¢£¥¦§©®±¶¹²³¼½¾¿€™¬�]")  # signs that wrongly decoded text is full of
 _FRONT = re.compile(r"(?!---\s*$)(?:\s*$|\s*#|\s+\S|- |[\w.\"'-][\w.\"' -]*:|[}\]])")  # lines of front matter
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 
@@ -82,16 +82,17 @@ def _even(line: str) -> str:
 
 
 def _noise(core: str, words: list[str]) -> int:
-    solid = sum(not c.isspace() for c in core)
+    pieces = core.split()
+    solid = sum(map(len, pieces))
     if not solid:
         return 0
     letters = sum(map(len, words))
-    if sum(c in _ODD for c in core) > 0.08 * solid:
+    if not core.isascii() and len(_ODD.findall(core)) > 0.08 * solid:
         return 2
-    longest = max(map(len, core.split()))
+    longest = max(map(len, pieces))
     if longest > 36 and longest > 0.5 * solid and "://" not in core:
         return 2
-    odd = sum(len(w) > 22 or (len(w) > 3 and not _VOWEL.search(w)) for w in words)
+    odd = len([w for w in words if len(w) > 3 and (len(w) > 22 or _VOWELS.isdisjoint(w))])
     if letters < 0.45 * solid or (words and odd > 0.34 * len(words)):
         return 2
     return 1 if letters < 0.72 * solid or (words and odd > 0.12 * len(words)) else 0
@@ -143,7 +144,7 @@ def label_lines(text: str) -> list[tuple[str, int]]:
         width = max(map(len, block))
         fits = [len(block[i]) + 1 + len(cores[i + 1].split(" ", 1)[0]) > width - 1 for i in range(len(block) - 1)]
         flow = len(block) >= 3 and sum(fits) >= 0.85 * len(fits) or len(block) == 2 and fits[0] and not marks[0] and cores[0][-1:] not in ".!?:;"
-        hits = [sum(w in _COMMON for w in ws) for ws in words]
+        hits = [len([w for w in ws if w in _COMMON]) for ws in words]
         repeated = _repeats([w for ws in words for w in ws])
         for i, (x, core) in enumerate(zip(block, cores)):
             lo, hi = (max(0, i - 2), i + 3) if flow else (i, i + 1)
