@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from arborweft.functions import outline
 from arborweft.operators import model
 from arborweft.operators.model import sql
 from arborweft.sources.tables import Scratch, load
@@ -65,6 +66,64 @@ def python_symbols_query(s, d):
     return out.withColumn("id", model.node_id(F.col("path"), F.col("kind"), F.col("qualified_name"), F.col("start_line")))
 
 
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(p, g, *x) for p, g, t in zip(*(c.to_pylist() for c in b.columns)) for x in (python_symbols(t) if g == "python" else outline.outline(t, g))]
+        if rows:
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["path", "language", "kind", "qualified_name", "start_line", "end_line", "parent"])
+
+
+def symbols(s, d):
+    """(path, language, kind, qualified_name, start_line, end_line, parent, id) of the Go, Java, JavaScript, TypeScript and Python
+    texts."""
+    f = model.files(s, d, "path", "language").filter("language in ('go', 'java', 'javascript', 'typescript', 'python')")
+    t = load(s, d, "source_texts").filter("content is not null").select("path", "content").join(f, "path").select("path", "language", "content")
+    out = t.mapInArrow(_outlined, "path string, language string, kind string, qualified_name string, start_line int, end_line int, parent string")
+    return out.withColumn("id", model.node_id(F.col("path"), F.col("kind"), F.col("qualified_name"), F.col("start_line")))
+
+
+@query("source_symbols")
+def source_symbols(s, d):
+    """S9. No SQL: needs lexing and matching of braces; tests compare with the nodes table, symbol by symbol."""
+    return symbols(s, d)
+
+
+@query("symbol_edges")
+def symbol_edges(s, d):
+    """Contains edges of the symbols: from the file, or from the symbol of the parent's name in the same file. A parent that
+    is declared in another file of its package leads from the file."""
+    x = Scratch(s, "symbols").write(symbols(s, d).select("path", "qualified_name", "parent", "id"))
+    up = x.groupBy("path", F.col("qualified_name").alias("parent")).agg(F.min("id").alias("up"))
+    return x.join(up, ["path", "parent"], "left").select(F.coalesce("up", F.concat(F.lit("file:"), "path")).alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"))
+
+
+# A component file of each kind, and the parts of it as a reader sees them (the stored files have none).
+COMPONENTS = (
+    ("zq/Row.vue", '<template>\n  <b @click="save" v-on:blur.once="drop(1)"/>\n</template>\n<script lang="ts">\nfunction save(): void {\n}\n</script>\n'), ("zq/Tab.svelte", "<script>\n  const go = () => {\n  }\n</script>\n<button on:click={go}>x</button>\n"), ("zq/page.liquid", "{% render 'card' %}\n{%- include \"foot\" -%}\n"),
+    ("zq/main.dfm", "object Form1: TForm1\n  object Ok: TButton\n    OnClick = OkClick\n  end\nend\n"), ("zq/UserMapper.xml", '<mapper namespace="com.x.UserMapper">\n  <select id="find">\n    <include refid="cols"/>\n  </select>\n  <sql id="cols">id</sql>\n</mapper>\n'), ("zq/empty.vue", ""), ("zq/plain.xml", "<a/>"),
+)
+PARTS = (
+    ("zq/Row.vue", "component", "Row", 1, None), ("zq/Row.vue", "function", "save", 5, "typescript"), ("zq/Row.vue", "handler", "save", 2, "click"), ("zq/Row.vue", "handler", "drop", 2, "blur"), ("zq/Tab.svelte", "component", "Tab", 1, None), ("zq/Tab.svelte", "function", "go", 2, "javascript"), ("zq/Tab.svelte", "handler", "go", 5, "click"),
+    ("zq/page.liquid", "render", "card", 1, None), ("zq/page.liquid", "include", "foot", 2, None), ("zq/main.dfm", "object", "Form1", 1, "TForm1"), ("zq/main.dfm", "object", "Ok", 2, "TButton"), ("zq/main.dfm", "handler", "OkClick", 3, "OnClick"), ("zq/UserMapper.xml", "statement", "com.x.UserMapper.find", 2, "select"), ("zq/UserMapper.xml", "statement", "com.x.UserMapper.cols", 5, "sql"),
+    ("zq/UserMapper.xml", "include", "com.x.UserMapper.cols", 3, None), ("zq/empty.vue", "component", "empty", 1, None),
+)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(p, *x) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in outline.component(p, t)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], names=["path", "kind", "name", "line", "extra"])
+
+
+@query("component_parts", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in PARTS) + ") AS v(path, kind, name, line, extra)")
+def component_parts(s, d):
+    """Parts of Vue, Svelte, Liquid, form and mapper files; other files never leave the JVM."""
+    t = load(s, d, "source_texts").filter("content is not null").filter(F.lower("path").rlike(r"\.(vue|svelte|liquid|dfm|xml)$")).select("path", "content")
+    return t.union(s.createDataFrame(list(COMPONENTS), "path string, content string")).mapInArrow(_parts, "path string, kind string, name string, line int, extra string")
+
+
 _NAMED = "name LIKE 'rotate%'"
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from arborweft.functions import routes
+from arborweft.functions import outline, routes
 from arborweft.operators import imports, indexing, intervals, pages, resolve, synthesis
 from arborweft.plans import resolution
 from arborweft.plans import routes as route_plans
@@ -106,3 +106,24 @@ def test_fixed_references_find_what_a_reader_expects(spark):
         "ref:zq01": (resolve.FQN, "class:zq1", "references"), "ref:zq02": (resolve.METHOD, "method:zq2", "calls"), "ref:zq03": (resolve.SQL_TAIL, "column:zq1", "references"), "ref:zq04": (resolve.QUALIFIED, "function:zq1", "calls"), "ref:zq05": (resolve.QUALIFIED_TAIL, "function:zq1", "calls"),
         "ref:zq06": (resolve.PATH, "file:zq/lib/tool.go", "references"), "ref:zq07": (resolve.EXACT, "interface:zq1", "implements"), "ref:zq08": (resolve.EXACT, "class:zq1", "instantiates"), "ref:zq09": (resolve.FUZZY, "function:zq1", "calls"),
     }
+
+
+def test_outlines():
+    go = 'package a\n\ntype T struct {\n\tx int // }\n}\n\nfunc (t *T) Add(a int) (interface{}, error) {\n\treturn "}", nil\n}\n\nfunc Bare() map[string]struct{} {\n}\n'
+    assert outline.outline(go, "go") == [("struct", "T", 3, 5, None), ("method", "T::Add", 7, 9, "T"), ("function", "Bare", 11, 12, None)]
+    java = "class A<T> extends B {\n  interface I { void f(); }\n  @X public int g(int a) throws E {\n    if (a) { new C(1); }\n    return h(1);\n  }\n}\n"
+    assert outline.outline(java, "java") == [("class", "A", 1, 7, None), ("interface", "A::I", 2, 2, "A"), ("method", "A::g", 3, 6, "A")]
+    ts = "export class A {\n  private async run(a: number): Promise<{x: 1}> {\n    return go(a);\n  }\n  b(): any {\n  }\n}\nfunction f(): any {\n}\nconst k = async (x: string): Promise<void> => {\n};\nnamespace N { export function z() {} }\n"
+    assert outline.outline(ts, "typescript") == [("class", "A", 1, 7, None), ("method", "A::run", 2, 4, "A"), ("method", "A::b", 5, 6, "A"), ("function", "f", 8, 9, None), ("function", "k", 10, 11, None), ("namespace", "N", 12, 12, None), ("method", "N::z", 12, 12, "N")]
+    assert outline.outline("func (", "go") == outline.outline("", "go") == outline.outline("x", "sql") == []
+
+
+def test_outlines_agree_with_the_nodes_table(spark, data):
+    """Functions and methods of the latest nodes whose file has a text: nearly all are found at their line with their name."""
+    from arborweft.plans import extract
+
+    got = {(r["path"], r["start_line"], r["qualified_name"].split("::")[-1]) for r in extract.symbols(spark, data).collect()}
+    n = spark.read.parquet(f"{data}/nodes.parquet").filter("kind in ('function', 'method') and language in ('go', 'java', 'javascript', 'typescript', 'python')").select("file_path", "start_line", "name").distinct()
+    texts = {r[0] for r in spark.read.parquet(f"{data}/source_texts.parquet").filter("content is not null").select("path").collect()}
+    want = {tuple(r) for r in n.collect() if r[0] in texts}
+    assert len(want) > 100 and len(want - got) <= 0.1 * len(want)
